@@ -105,7 +105,7 @@ class Words:
             at = to
         self.hash = mix(self.hash ^ lens.astype(np.uint64))
         for p in prefixes:
-            self.prefix[p] = mix(self.prefix[p] + np.uint64(p) * _BASE)
+            self.prefix[p] = mix(self.prefix[p] ^ np.uint64(p << 32))
 
     def texts(self) -> np.ndarray:
         """The text, as a row of the slice, that each word belongs to."""
