@@ -34,14 +34,14 @@ from linkloom.llm.toxicity import fold
 #: Tokens that are classes of their own, the end token among them.
 TOP = 511
 DEPTH = 16
-STRIDE = 4
+STRIDE = 8
 #: Most frequent tokens whose counts every task holds.
 KNOWN = 1 << 18
 #: Distinct tokens that a task holds before it passes counts on.
 HELD = 1 << 20
 #: The hash of the token that ends a text.
 END = np.uint64(0xE7D5B1C3A9F80765)
-NOISE, BATCH, RATE = 64, 8192, 0.3
+NOISE, BATCH, RATE = 16, 8192, 0.05
 
 
 def with_checkpoints(spark: SparkSession) -> None:
@@ -130,6 +130,7 @@ class LogBilinear:
         self.bias = np.log(unigram).astype(np.float32)
         self.log_noise = self.bias.copy()
         self.noise = unigram
+        self.squares: dict[str, np.ndarray] = {}  # of gradients, for Adagrad
 
     def parameters(self) -> np.ndarray:
         return np.concatenate([self.r.ravel(), self.q.ravel(), self.c.ravel(), self.bias])
@@ -141,33 +142,33 @@ class LogBilinear:
             setattr(self, name, flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
 
-    def step(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, rng: np.random.Generator, rate: float = RATE) -> None:
-        """One step of noise-contrastive estimation; the batch shares its noise samples."""
-        k = NOISE
+    def step(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, rate: float = RATE) -> None:
+        """One Adagrad step of noise-contrastive estimation.
+
+        There are few classes, so the noise term is taken in expectation over
+        the noise distribution instead of over samples of it.
+        """
         ra, rb = self.r[a], self.r[b]
         pred = self.c[0] * ra + self.c[1] * rb
-        fake = rng.choice(len(self.noise), k, p=self.noise)
-        data = np.einsum("ij,ij->i", pred, self.q[w]) + self.bias[w] - self.log_noise[w] - np.log(k)
-        noise = pred @ self.q[fake].T + (self.bias[fake] - self.log_noise[fake] - np.log(k))
-        g_data = 1 / (1 + np.exp(np.clip(data, -30, 30)))  # ascent on log sigma(data)
-        g_noise = -1 / (1 + np.exp(np.clip(-noise, -30, 30)))  # and on log(1 - sigma(noise))
-        g_pred = g_data[:, None] * self.q[w] + g_noise @ self.q[fake]
-        n = len(w)
-        step_q, step_b = np.zeros_like(self.q), np.bincount(w, g_data, minlength=len(self.bias))
-        _scatter(step_q, w, g_data[:, None] * pred)
-        np.add.at(step_q, fake, g_noise.T @ pred)
-        np.add.at(step_b, fake, g_noise.sum(0))
+        s = pred @ self.q.T
+        s += self.bias - self.log_noise - np.float32(np.log(NOISE))
+        np.clip(s, -30, 30, out=s)
+        every = np.arange(len(w))
+        g_data = 1 / (1 + np.exp(s[every, w]))  # ascent on log sigma(s) at the data
+        np.negative(s, out=s)
+        np.exp(s, out=s)
+        s += 1
+        g = (-NOISE * self.noise).astype(np.float32) / s  # and on log(1 - sigma(s)) at the noise
+        g[every, w] += g_data
+        g /= np.float32(len(w))
+        g_pred = g @ self.q
         step_r = np.zeros_like(self.r)
         _scatter(step_r, a, g_pred * self.c[0])
         _scatter(step_r, b, g_pred * self.c[1])
-        step_c = np.stack([(g_pred * ra).mean(0), (g_pred * rb).mean(0)])
-        # rows are scaled by how often they came up, so that rare classes learn as fast as frequent ones
-        seen = np.maximum(np.bincount(w, minlength=len(self.bias)) + k * n * self.noise / 8, 1)
-        self.q += rate * step_q / seen[:, None]
-        self.bias += (rate * step_b / seen).astype(np.float32)
-        seen = np.maximum(np.bincount(a, minlength=len(self.r)) + np.bincount(b, minlength=len(self.r)), 8)
-        self.r += rate * step_r / seen[:, None]
-        self.c += (0.1 * rate * step_c).astype(np.float32)
+        for name, step in (("q", g.T @ pred), ("bias", g.sum(0)), ("r", step_r), ("c", np.stack([(g_pred * ra).sum(0), (g_pred * rb).sum(0)]))):
+            total = self.squares.setdefault(name, np.full_like(step, 1e-10))
+            total += step * step
+            getattr(self, name)[...] += rate * step / np.sqrt(total)
 
     def log_normaliser(self) -> np.ndarray:
         """Natural log of the sum over classes for each context (a, b), by one matrix product per b."""
@@ -194,13 +195,12 @@ def _train(start: LogBilinear, classes: Classes):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = LogBilinear(classes.n, start.noise)
         model.load(start.parameters())
-        rng = np.random.default_rng(TaskContext.get().partitionId())
         parts, held, seen, steps = [], 0, 0, 0
 
         def learn() -> int:
             a, b, w = (np.concatenate(x) for x in zip(*parts))
             for i in range(0, len(w), BATCH):
-                model.step(a[i : i + BATCH], b[i : i + BATCH], w[i : i + BATCH], rng)
+                model.step(a[i : i + BATCH], b[i : i + BATCH], w[i : i + BATCH])
             parts.clear()
             return len(w)
 
