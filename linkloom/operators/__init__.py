@@ -1 +1 @@
-
+"""Relational steps of record linkage; every function takes and gives DataFrames or Columns."""
