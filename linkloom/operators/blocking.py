@@ -87,8 +87,8 @@ def keys(records: DataFrame, config: BlockingConfig = BlockingConfig()) -> DataF
     }
     parts = []
     for channel in config.channels:
-        tag = lambda k, c=channel: F.struct(F.lit(SPACES.get(c, c)).alias("space"), k.alias("key"), F.lit(c).alias("channel"), F.lit(WEIGHTS[c]).alias("weight"))
-        parts.append(F.transform(made[channel](), tag))
+        space, label, weight = F.lit(SPACES.get(channel, channel)), F.lit(channel), F.lit(WEIGHTS[channel])
+        parts.append(F.transform(made[channel](), lambda k: F.struct(space.alias("space"), k.alias("key"), label.alias("channel"), weight.alias("weight"))))
     out = r.select("entity_id", "country", F.explode(F.concat(*parts)).alias("k")).select("entity_id", "country", "k.*").filter("key <> ''")
     return out.groupBy("entity_id", "country", "space", "key", "channel", "weight").agg(F.count(F.lit(1)).alias("n"))
 

@@ -1 +1 @@
-
+"""Relations and registered queries."""

@@ -1,4 +1,6 @@
 """The registered queries of the engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from linkloom.plans import pair_queries, text_queries
+
+QUERIES = {**text_queries.QUERIES, **pair_queries.QUERIES}
+ORACLES = {**text_queries.ORACLES, **pair_queries.ORACLES}

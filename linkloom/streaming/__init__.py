@@ -1 +1 @@
-
+"""Incremental arrival of candidate records, as Structured Streaming."""
