@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.text import Words, mix, small_batches, words_of
+from linkloom.llm.text import Words, mix, small_batches, with_checkpoints, words_of
 
 DIM = 1 << 18
 PREFIXES = (3, 4, 5, 6)
@@ -79,52 +79,59 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-class _Rows:
-    """Sparse rows: the slots and shares of each text."""
+def choose_slots(rows: DataFrame) -> list[int]:
+    """The slots that P has more of than U, by their share or by the texts that have them, in standard errors.
 
-    def __init__(self, slots: list[np.ndarray], shares: list[np.ndarray]):
-        self.slots, self.shares = slots, shares
+    Spark sums each slot's moments; no more than the chosen slots reach the driver.
+    """
+    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    flat = rows.select("toxic", F.explode(F.arrays_zip("slot", "share")).alias("x")).select("toxic", F.col("x.slot").alias("slot"), F.col("x.share").cast("double").alias("share"))
+    of = lambda which, v: F.sum(F.when(F.col("toxic") == which, v).otherwise(0.0))
+    one = F.lit(1.0)
+    sums = flat.groupBy("slot").agg(*[of(w, v).alias(f"{k}{w}") for w in (1, 0) for k, v in (("s", F.col("share")), ("q", F.col("share") ** 2), ("c", one))])
+
+    def z(first: str, second: str) -> Column:
+        mean = {w: F.col(f"{first}{w}") / n[w] for w in (1, 0)}
+        var = {w: F.greatest(F.col(f"{second}{w}") / n[w] - mean[w] ** 2, F.lit(0.0)) for w in (1, 0)}
+        # a slot that P holds by chance has no variance to speak of; U's lends it some
+        return (mean[1] - mean[0]) / F.sqrt((var[1] + var[0]) / n[1] + var[0] / n[0] + 1e-9)
 
-    def moments(self, present: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Mean and variance of every slot's share, or of whether a text has it."""
-        n, first, second = max(len(self.slots), 1), np.zeros(DIM), np.zeros(DIM)
-        for s, x in zip(self.slots, self.shares):
-            x = np.ones(len(s)) if present else x.astype(np.float64)
-            first[s] += x
-            second[s] += x**2
-        return first / n, np.maximum(second / n - (first / n) ** 2, 0)
+    sums = sums.select("slot", z("s", "q").alias("share"), z("c", "c").alias("presence"))
+    chosen = [sums.filter(F.col(by) > LEAST_Z).orderBy(F.desc(by), "slot").limit(CHOSEN).select("slot") for by in ("share", "presence")]
+    return sorted({r["slot"] for r in chosen[0].union(chosen[1]).collect()})
 
-    def dense(self, column: np.ndarray, n: int) -> np.ndarray:
-        """Shares of the chosen slots and whether they are there; ``column`` maps a slot to its column, or to n."""
-        out = np.zeros((len(self.slots), n + 1))
-        for i, (s, x) in enumerate(zip(self.slots, self.shares)):
-            out[i, column[s]] = x
-        return np.hstack([out[:, :n], out[:, :n] > 0])
 
+def _dense(slots: list[int]):
+    """Each row's shares of the chosen slots."""
+    column = np.full(DIM, -1, np.int32)
+    column[slots] = np.arange(len(slots))
 
-def choose_slots(positive: _Rows, unlabelled: _Rows) -> np.ndarray:
-    """The slots that P has more of than U, by their share or by the texts that have them, in standard errors."""
-    chosen = []
-    for present in (False, True):
-        (mp, vp), (mu, vu) = positive.moments(present), unlabelled.moments(present)
-        # a slot that P holds by chance has no variance to speak of; U's lends it some
-        z = (mp - mu) / np.sqrt((vp + vu) / max(len(positive.slots), 1) + vu / max(len(unlabelled.slots), 1) + 1e-9)
-        best = np.argsort(-z, kind="stable")[:CHOSEN]
-        chosen.append(best[z[best] > LEAST_Z])
-    return np.unique(np.concatenate(chosen))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot, share = batch.column(1), batch.column(2)
+            at = np.asarray(slot.offsets) - slot.offsets[0].as_py()
+            row = np.repeat(np.arange(len(batch)), np.diff(at))
+            c = column[np.asarray(slot.flatten())]
+            own = c >= 0
+            out = np.zeros((len(batch), len(slots)), np.float32)
+            out[row[own], c[own]] = np.asarray(share.flatten())[own]
+            lists = pa.ListArray.from_arrays(np.arange(len(batch) + 1, dtype=np.int32) * len(slots), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["toxic", "x"])
+
+    return run
 
 
-def fit_nnpu(positive: _Rows, unlabelled: _Rows, prior: float, steps: int = 1500, batch: int = 512, rate: float = 0.02, decay: float = 1e-2, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
-    """Adam on the non-negative risk with the logistic loss: every slot's weights, of its share and of being there, and the bias."""
+def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 1500, batch: int = 512, rate: float = 0.02, decay: float = 1e-2, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
+    """Adam on the non-negative risk with the logistic loss.
+
+    ``xp`` and ``xu`` hold shares of slots in P and U; gives each slot's
+    weights, of its share and of being there, and the bias.
+    """
     rng = np.random.default_rng(seed)
-    slots = choose_slots(positive, unlabelled)
-    n = len(slots)
-    column = np.full(DIM, n)
-    column[slots] = np.arange(n)
-    xp, xu = positive.dense(column, n), unlabelled.dense(column, n)
+    xp, xu = (np.hstack([x, x > 0]).astype(np.float64) for x in (xp, xu))
+    n = xp.shape[1]
     scale = 1 / np.maximum(np.sqrt(xu.var(0) + xp.var(0)), 1e-6)
     xp, xu = np.hstack([xp * scale, np.ones((len(xp), 1))]), np.hstack([xu * scale, np.ones((len(xu), 1))])
-    n *= 2
     w = np.zeros(n + 1)
     w[n] = np.log(prior / (1 - prior))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
@@ -143,9 +150,8 @@ def fit_nnpu(positive: _Rows, unlabelled: _Rows, prior: float, steps: int = 1500
         v += 0.001 * (g * g - v)
         step = rate * (1 - t / steps) + 1e-3
         w -= step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    weights = np.zeros((2, DIM), np.float32)
-    weights[:, slots] = (w[:n] * scale).reshape(2, -1)
-    return weights[0], weights[1], float(w[n])
+    share, presence = (w[:n] * scale).reshape(2, -1)
+    return share, presence, float(w[n])
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, key: str = "doc_id", text: str = "text") -> Model:
@@ -156,6 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, key
     0.5 less a little for every text.
     """
     small_batches(docs.sparkSession)
+    with_checkpoints(docs.sparkSession)
     known = labels.select(F.col(key).alias("k"), F.col("toxic").alias("toxic")).filter(F.col("k").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("k"), folds) != held))
     n, total = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     nothing = np.zeros(DIM, np.float32)
@@ -166,21 +173,17 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, key
     pos = known.filter("toxic = 1").select("k").distinct().orderBy(order, "k").limit(MOST_P).select("k", F.lit(1).alias("toxic"))
     unl = docs.select(F.col(key).alias("k")).filter(F.col("k").isNotNull() & (fold(F.col("k"), folds) != held)).orderBy(order, "k").limit(MOST_U).distinct().select("k", F.lit(0).alias("toxic"))
     chosen = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(pos.unionByName(unl)), "k")
-    rows = chosen.select("toxic", "text").mapInArrow(_features, "toxic int, slot array<int>, share array<float>").toArrow()
-
-    def part(which: int) -> _Rows:
-        own = rows.filter(pa.compute.equal(rows["toxic"], which)).combine_chunks()
-        lists = []
-        for name, kind in (("slot", np.int64), ("share", np.float64)):
-            flat = own[name].combine_chunks() if isinstance(own[name], pa.ChunkedArray) else own[name]
-            flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) and flat.num_chunks == 1 else flat
-            lists.append([np.asarray(x.values, dtype=np.int32 if kind is np.int64 else np.float32) for x in flat])
-        return _Rows(*lists)
-
-    positive, unlabelled = part(1), part(0)
-    if not positive.slots or not unlabelled.slots:
+    rows = chosen.select("toxic", "text").mapInArrow(_features, "toxic int, slot array<int>, share array<float>").checkpoint()
+    if rows.select("toxic").distinct().count() < 2:
         return Model(nothing, nothing, -0.01, prior)
-    return Model(*fit_nnpu(positive, unlabelled, prior), prior)
+    slots = choose_slots(rows)
+    table = rows.mapInArrow(_dense(slots), "toxic int, x array<float>").toArrow()
+    toxic = table["toxic"].to_numpy()
+    x = np.asarray(pa.chunked_array([c.flatten() for c in table["x"].chunks], pa.float32())).reshape(len(toxic), len(slots))
+    share, presence, bias = fit_nnpu(x[toxic == 1], x[toxic == 0], prior)
+    model = Model(nothing.copy(), nothing.copy(), bias, prior)
+    model.of_share[slots], model.of_presence[slots] = share, presence
+    return model
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 0) -> DataFrame:
