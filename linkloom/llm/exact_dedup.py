@@ -64,9 +64,9 @@ def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
 def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with all their columns; one of each set of wholly equal rows."""
-    digest = F.sha2(normalised(F.col(text)), 256)
-    stay = duplicate_groups(docs, key, text).filter("kept").select(F.col("keep_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    rows = docs.withColumn("_n", F.length(F.coalesce(F.col(text), F.lit("")))).withColumn("_digest", digest)
-    joined = rows.join(stay, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_semi")
-    first = Window.partitionBy(key, "_digest").orderBy(F.desc("_n"), F.col(text))
+    stay = duplicate_groups(docs, key, text).filter("kept").select(F.struct("keep_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    # a struct of a null id equals itself; the window finds its rows where the join has put them
+    rows = docs.withColumns({"_key": F.struct(F.col(key).cast("long").alias("keep_id")), "_n": F.length(F.coalesce(F.col(text), F.lit(""))), "_digest": F.sha2(normalised(F.col(text)), 256)})
+    joined = rows.join(stay, (F.col("_key") == F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_semi")
+    first = Window.partitionBy("_key", "_digest").orderBy(F.desc("_n"), F.col(text))
     return joined.withColumn("_turn", F.row_number().over(first)).filter("_turn = 1").select(*docs.columns)
