@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 from linkloom.llm import decontaminate, exact_dedup, order_minhash, packing, toxicity
-from linkloom.llm.log_bilinear import with_checkpoints
+from linkloom.llm.text import with_checkpoints
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
