@@ -25,10 +25,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.text import NOT_SPACE, Words, mix, small_batches, words_of
+from linkloom.llm.text import NOT_SPACE, Words, mix, small_batches, with_checkpoints, words_of
 from linkloom.llm.toxicity import fold
 
 #: Tokens that are classes of their own, the end token among them.
@@ -44,15 +44,6 @@ END = np.uint64(0xE7D5B1C3A9F80765)
 NOISE, BATCH, RATE = 16, 8192, 0.05
 
 
-def with_checkpoints(spark: SparkSession) -> None:
-    """Point checkpoints at the folder the cluster names; a folder of our own only where none is set."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-
-
 def tokens(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all tokens, each text's words and then its end, and where each text begins."""
     of_text = words.of_text + np.arange(len(words.of_text))
@@ -274,6 +265,27 @@ def _batch(columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names)
 
 
+def frequent(counts: DataFrame, most: int = KNOWN) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` tokens, the most frequent first, and their counts.
+
+    Counts fall into classes of a thirty-second of a doubling; a histogram of
+    those, a few hundred rows, tells which classes fit, and only their tokens
+    reach the driver.  No task ranks all tokens.
+    """
+    bucket = F.floor(F.log2("c") * 32)
+    held, least = 0, None
+    for b, n in sorted(counts.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        if held + n > most:
+            break
+        held, least = held + n, b
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    best = counts.filter(bucket >= least).toArrow()
+    token, c = np.asarray(best["token"].to_numpy(), np.int64), np.asarray(best["c"].to_numpy(), np.int64)
+    order = np.lexsort((token, -c))
+    return token[order].view(np.uint64), c[order]
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -289,9 +301,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     learn = rows.filter("not held_out").select("text")
     counts = learn.mapInArrow(_count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).checkpoint()
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    best = counts.orderBy(F.desc("c"), "token").limit(KNOWN).toArrow()
-    known = np.asarray(best["token"].to_numpy(), np.int64).view(np.uint64)
-    known_c = np.asarray(best["c"].to_numpy(), np.int64)
+    known, known_c = frequent(counts)
     top, top_c = known[:TOP], known_c[:TOP]
     classes = Classes(top)
     rest = float(total - top_c.sum() + (distinct - len(top)) + 1)  # the shared class, add-one, with one unseen type
