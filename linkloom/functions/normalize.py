@@ -11,6 +11,28 @@ from pyspark.sql import functions as F
 from linkloom.functions import constants as C
 
 
+@lru_cache(64)
+def literals(words: tuple[str, ...]) -> list[Column]:
+    """Literal columns of a fixed list, made once: each is a call into the JVM."""
+    return [F.lit(w) for w in words]
+
+
+def among(c: Column, words: list[str]) -> Column:
+    """Whether a value is in a fixed list; Spark makes a hash set of it."""
+    return c.isin(*literals(tuple(words)))
+
+
+@lru_cache(8)
+def _map(pairs: tuple[tuple[str, str], ...]) -> Column:
+    return F.create_map(*literals(tuple(x for pair in pairs for x in pair)))
+
+
+@lru_cache(1)
+def _forms() -> Column:
+    """The legal forms as an array of (p, label) structs."""
+    return F.array(*[F.struct(F.lit(f"(?U){p}").alias("p"), F.lit(label).alias("label")) for p, label in C.LEGAL_SUFFIXES])
+
+
 def text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -49,7 +71,7 @@ def add_name(df: DataFrame, name: str = "business_name") -> DataFrame:
     anyone = "(?U)" + "|".join(f"(?:{p})" for p, _ in C.LEGAL_SUFFIXES)
     df = df.withColumn("_clean", clean(F.col(name)))
     fold = F.aggregate(
-        F.array(*[F.struct(F.lit(f"(?U){p}").alias("p"), F.lit(label).alias("label")) for p, label in C.LEGAL_SUFFIXES]),
+        _forms(),
         F.struct(F.col("_clean").alias("core"), F.lit("").alias("suffix")),
         lambda acc, x: F.struct(
             F.regexp_replace(acc["core"], x["p"], F.lit(" ")).alias("core"),
@@ -106,7 +128,7 @@ def normalize(df: DataFrame) -> DataFrame:
 
 def transliterate(c: Column) -> Column:
     """Devanagari letters in Latin script; texts without any are left alone."""
-    letters = F.create_map(*[F.lit(x) for pair in C.DEVANAGARI.items() for x in pair])
+    letters = _map(tuple(C.DEVANAGARI.items()))
     spelled = F.array_join(F.transform(F.split(text(c), ""), lambda x: F.coalesce(F.try_element_at(letters, x), x)), "")
     return F.when(text(c).rlike("[ऀ-ॿ]"), spelled).otherwise(text(c))
 
@@ -119,14 +141,14 @@ def tokens(c: Column) -> Column:
 def core_tokens(c: Column, stops: list[str] = C.LEGAL_STOPWORDS) -> Column:
     """Words that make the business's own name; all words where none is left."""
     every = tokens(c)
-    own = F.filter(every, lambda t: ~t.isin(stops) & (F.length(t) > 1))
+    own = F.filter(every, lambda t: ~among(t, stops) & (F.length(t) > 1))
     return F.when(F.size(own) > 0, own).otherwise(every)
 
 
 def street_tokens(addr_norm: Column, city_norm: Column) -> Column:
     """Distinct words that name a street: no numbers, kinds of streets, cities, or words of two letters or fewer."""
     bare = F.transform(tokens(addr_norm), lambda t: F.regexp_replace(t, r"(?U)[^\w\s]", ""))
-    own = F.filter(bare, lambda t: ~t.rlike(r"(?U)^\d*[a-z]?$") & (F.length(t) > 2) & ~t.isin(C.STREET_TYPES) & ~t.isin(C.CITIES))
+    own = F.filter(bare, lambda t: ~t.rlike(r"(?U)^\d*[a-z]?$") & (F.length(t) > 2) & ~among(t, C.STREET_TYPES) & ~among(t, C.CITIES))
     return F.array_except(own, tokens(city_norm))
 
 
@@ -138,14 +160,14 @@ def acronym(words: Column) -> Column:
 
 def audit_clean(c: Column) -> Column:
     """The audit's cleaning: lower case, punctuation to spaces, words by its table."""
-    table = F.create_map(*[F.lit(x) for pair in C.AUDIT_TOKENS.items() for x in pair])
+    table = _map(tuple(C.AUDIT_TOKENS.items()))
     words = tokens(F.regexp_replace(F.lower(text(c)), r"[#.,\-/()\[\]:;'\"]", " "))
     return F.array_join(F.transform(words, lambda t: F.coalesce(F.try_element_at(table, t), t)), " ")
 
 
 def audit_core(c: Column) -> Column:
     every = tokens(audit_clean(c))
-    own = F.filter(every, lambda t: ~t.isin(C.AUDIT_STOPWORDS) & (F.length(t) > 1))
+    own = F.filter(every, lambda t: ~among(t, C.AUDIT_STOPWORDS) & (F.length(t) > 1))
     return F.array_join(F.when(F.size(own) > 0, own).otherwise(every), " ")
 
 
@@ -155,7 +177,7 @@ def audit_street_number(c: Column) -> Column:
 
 def audit_street_tokens(c: Column) -> Column:
     drop = sorted({*C.AUDIT_STREET_TYPES, *C.AUDIT_TOKENS.values()})
-    return F.array_distinct(F.filter(tokens(audit_clean(c)), lambda t: ~t.rlike(r"(?U)^\d+[a-z]?$") & ~t.isin(drop) & (F.length(t) > 2)))
+    return F.array_distinct(F.filter(tokens(audit_clean(c)), lambda t: ~t.rlike(r"(?U)^\d+[a-z]?$") & ~among(t, drop) & (F.length(t) > 2)))
 
 
 def _numbers_text(c: Column) -> Column:

@@ -38,7 +38,7 @@ class BlockingConfig:
 
 
 def _significant(name: Column) -> Column:
-    return F.filter(N.tokens(N.transliterate(name)), lambda t: ~t.isin(C.GENERIC_STOPS) & (F.length(t) > 1))
+    return F.filter(N.tokens(N.transliterate(name)), lambda t: ~N.among(t, C.GENERIC_STOPS) & (F.length(t) > 1))
 
 
 def tok2_key(name: Column) -> Column:
@@ -62,7 +62,7 @@ def postal_key(name: Column, pin: Column) -> Column:
 
 def street_keys(addr: Column, number: Column) -> Column:
     """Street number with each of the first three words that may name a street."""
-    t = F.filter(N.tokens(addr), lambda x: (x != number) & (F.length(x) > 2) & ~x.isin(C.ADDRESS_STOPS))
+    t = F.filter(N.tokens(addr), lambda x: (x != number) & (F.length(x) > 2) & ~N.among(x, C.ADDRESS_STOPS))
     return F.when(number == "", F.array().cast("array<string>")).otherwise(F.transform(F.slice(t, 1, 3), lambda x: F.concat_ws("_", number, x)))
 
 
@@ -70,7 +70,7 @@ def keys(records: DataFrame, config: BlockingConfig = BlockingConfig()) -> DataF
     """entity_id, country, space, key, channel, weight, n: how often the record gives the key."""
     r = records
     name, addr, pin, number = F.col("name_norm"), F.col("addr_norm"), F.col("pin_extracted"), F.col("street_number")
-    words = F.filter(N.tokens(N.transliterate(name)), lambda t: ~t.isin(C.GENERIC_STOPS))
+    words = F.filter(N.tokens(N.transliterate(name)), lambda t: ~N.among(t, C.GENERIC_STOPS))
     long = F.filter(words, lambda t: F.length(t) >= 4)
     one = lambda k: F.array(k)
     made = {

@@ -636,8 +636,10 @@ FROM (SELECT unnest(['duplicate_s1', 'duplicate_id', 'self_match', 'bad_prefix',
 
 @query(f"WITH {_BROKEN}")
 def validator_findings(spark, d) -> DataFrame:
-    norm = R.normalized(spark, d)
-    return validate.findings(_broken_lists(spark, d), R.entities(norm).select("s1"), R.sides(norm)[1].select(F.col("entity_id").alias("cand")))
+    # the checks read a finished output several times, so it is made once, as a file would be
+    assign.checkpoints(spark)
+    lists, recs = _broken_lists(spark, d).checkpoint(), R.records(spark, d)
+    return validate.findings(lists, R.sides(recs)[0].select(F.col("entity_id").alias("s1")), R.sides(recs)[1].select(F.col("entity_id").alias("cand")))
 
 
 @query(f"WITH {_LISTS} SELECT count(*) AS rows, count(*) FILTER (WHERE len(matches) > 3) AS over_match_cap, count(*) FILTER (WHERE len(cands) > 5) AS over_cand_cap, 0::BIGINT AS not_contained FROM both_")
