@@ -31,8 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.components import components
-from linkloom.llm.log_bilinear import with_checkpoints
-from linkloom.llm.text import grams, mix, small_batches, words_of
+from linkloom.llm.text import grams, mix, small_batches, with_checkpoints, words_of
 
 K = 5
 DRAWN = 3
