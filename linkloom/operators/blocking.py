@@ -120,10 +120,37 @@ def votes(s1: DataFrame, cands: DataFrame, config: BlockingConfig = BlockingConf
     return shared_keys(s1, cands, config).groupBy("s1", "cand").agg(F.sum("votes").alias("votes"))
 
 
+def _bags(rows: DataFrame, n: Column, who: str, label: str) -> DataFrame:
+    """who, bag (its keys, each with n) and label, a hash of the bag: records of one bag get the same votes."""
+    bags = rows.groupBy("entity_id", "country", "space", "key").agg(F.sum(n).alias("n"))
+    bags = bags.groupBy(F.col("entity_id").alias(who)).agg(F.array_sort(F.collect_list(F.struct("country", "space", "key", "n"))).alias("bag"))
+    return bags.withColumn(label, F.sha2(F.to_json("bag"), 256))
+
+
+def preselected(s1: DataFrame, cands: DataFrame, most: int, config: BlockingConfig = BlockingConfig()) -> DataFrame:
+    """s1 and cand of the ``most`` best votes of each s1; ties go to the smaller id.
+
+    Equal records meet once: votes are counted between distinct bags of keys.
+    The bags are ranked by votes and then by their least id, so one after the
+    first ``most`` bags has no candidate among the first ``most``, nor has a
+    bag's candidate after its first ``most``.
+    """
+    a = _bags(keys(s1, config), F.col("weight") * F.col("n"), "s1", "bag_a")
+    b = _bags(_capped(keys(cands, config), config), F.col("n"), "cand", "bag_b")
+    keyed = lambda df, label, n, *more: df.select(label, *more, F.explode("bag").alias("k")).select(label, *more, "k.country", "k.space", "k.key", F.col("k.n").alias(n))
+    left = keyed(a.groupBy("bag_a").agg(F.first("bag").alias("bag")), "bag_a", "n1")
+    right = keyed(b.groupBy("bag_b").agg(F.first("bag").alias("bag"), F.min("cand").alias("least")), "bag_b", "n2", "least")
+    met = left.join(right, ["country", "space", "key"]).groupBy("bag_a", "bag_b", "least").agg(F.sum(F.col("n1") * F.col("n2")).alias("votes"))
+    first = lambda df, by, *order: df.withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("r") <= most).drop("r")
+    bags = first(met, "bag_a", F.desc("votes"), "least")
+    members = first(b.select("bag_b", "cand"), "bag_b", "cand")
+    chosen = first(bags.join(members, "bag_b"), "bag_a", F.desc("votes"), "cand")
+    return chosen.join(a.select("s1", "bag_a"), "bag_a").select("s1", "cand")
+
+
 def candidates(s1: DataFrame, cands: DataFrame, config: BlockingConfig = BlockingConfig()) -> DataFrame:
     """s1, cand, score, rank: the votes choose twice as many as stay, similarity of names and addresses ranks them."""
-    first = Window.partitionBy("s1").orderBy(F.desc("votes"), "cand")
-    chosen = votes(s1, cands, config).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= config.preselect()).select("s1", "cand")
+    chosen = preselected(s1, cands, config.preselect(), config)
     side = lambda df, who: df.select(F.col("entity_id").alias(who), F.col("name_norm").alias(f"{who}_name"), F.col("addr_norm").alias(f"{who}_addr"), N.transliterate(F.col("name_norm")).alias(f"{who}_latin"))
     pairs = chosen.join(side(s1, "s1"), "s1").join(side(cands, "cand"), "cand")
     set_ratio = lambda x: S.similarities(F.col(f"s1_{x}"), F.col(f"cand_{x}"), "token_set")["token_set"]

@@ -103,7 +103,7 @@ def theta_exhaustive_recall(spark, d) -> DataFrame:
 
 @query()
 def candidates_reranked(spark, d) -> DataFrame:
-    return blocking.candidates(*R.sides(R.normalized(spark, d)), blocking.BlockingConfig(channels=("tok2", "sigtoken"), cap=200, top_k=12))
+    return blocking.candidates(*R.sides(R.normalized(spark, d)), blocking.BlockingConfig(channels=("tok2", "sigtoken"), top_k=12))
 
 
 # --- similarities and features --------------------------------------------------

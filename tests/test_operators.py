@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import normalize as N
 from linkloom.operators import assign, blocking, decide, evaluate, features, guards, ml, sampling, validate
+from linkloom.plans import pair_queries
 
 LADDERS = [("a", "x1", 0.95), ("a", "x2", 0.95), ("a", "x3", 0.9), ("a", "x4", 0.7), ("b", "x1", 0.6), ("c", "x9", 0.8), ("d", "x5", 0.99), ("d", "x6", 0.93), ("d", "x7", 0.86), ("d", "x8", 0.8)]
 
@@ -138,3 +139,21 @@ def test_training_pairs(spark):
     t = spark.createDataFrame([("a", "x"), ("a", "z")], "s1 string, cand string")
     got = sorted((r.cand, r.label, r.injected) for r in ml.training_pairs(c, t).collect())
     assert got == [("x", 1, False), ("y", 0, False), ("z", 1, True)]
+
+
+def test_preselection_of_equal_records(spark):
+    names = ["acme foods", "acme foods", "acme mills", "foods acme acme", "zeta foods", "zeta"]
+    recs = [(f"S{1 if i % 3 == 0 else 2}-{i:03}", names[i * 7 % 11 % 6], "", "US" if i % 5 else "FR") for i in range(120)]
+    norm = N.normalize(spark.createDataFrame(recs, "entity_id string, business_name string, business_address string, country string"))
+    s1, cands = norm.filter("entity_id like 'S1%'"), norm.filter("entity_id not like 'S1%'")
+    config = blocking.BlockingConfig(channels=("tok2", "sigtoken", "acronym"))
+    for most in (1, 7, 1000):
+        want = taken(blocking.top_k(blocking.votes(s1, cands, config), most, "votes"))
+        assert taken(blocking.preselected(s1, cands, most, config)) == want and want
+
+
+def test_reranked_candidates_of_a_large_group(spark, tmp_path):
+    docs = [(i, "alpha beta gamma delta epsilon zeta eta theta", "en", 45) for i in range(360)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = pair_queries.candidates_reranked(spark, str(tmp_path)).groupBy("s1").count().collect()
+    assert len(got) == 120 and {r["count"] for r in got} == {12}
