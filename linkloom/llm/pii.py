@@ -190,11 +190,11 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("clean", F.replace("text", F.lit("\u0001"), F.lit("\u0002")))
     none = F.array().cast(_SPAN)
-    digits = F.col("clean").rlike("[0-9]{2}")
+    # the base patterns may have single digits, with something between any two; the generators' patterns have two in a row
+    rows = rows.withColumn("digit", F.col("clean").rlike("[0-9]")).withColumn("digits", F.col("digit") & F.col("clean").rlike("[0-9]{2}"))
     for kind, pattern in BASE.items():
         need = F.contains("clean", F.lit(_NEEDS[kind])) if kind in _NEEDS else F.lit(True)
-        need = need if kind == "email" else need & F.col("digits")
-        rows = rows if kind != "email" else rows.withColumn("digits", digits)
+        need = need if kind == "email" else need & F.col("digit")
         rows = rows.withColumn(kind, F.when(need, _spans(F.col("clean"), kind, pattern)).otherwise(none))
     for kind, pattern in MORE.items():
         need = F.contains("clean", F.lit("at")) & F.col("clean").rlike(r"[\[(]\x20?at\x20?[\])]") if kind == "spelled_email" else F.col("digits")

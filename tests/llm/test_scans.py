@@ -127,6 +127,17 @@ def test_personal_data_against_brute_force(spark):
     assert kinds == [{"local_phone"}, {"national_id"}, set(), {"spelled_email"}]
 
 
+def test_personal_data_of_single_digits(spark):
+    texts = ["dns 8.8.8.8 or 1.1.1.1", "card 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "pay 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1 now", "+1-2-3-4-5-6-7-8-9", "8.8 and + and 7"]
+    found = {r.doc_id: r for r in pii.report(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        base = brute_pii(t)
+        text = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base)
+        assert found[i].base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert (found[i].n_ip, found[i].n_card, found[i].n_phone) == tuple(sum(k == x for _, k, _ in base) for x in (1, 2, 3))
+    assert (found[0].n_ip, found[1].n_card, found[2].n_card, found[3].n_phone) == (2, 1, 1, 1)
+
+
 def test_redaction_and_empty(spark):
     got = pii.redact(frame(spark, ["x a@b.cd y", None])).orderBy("doc_id").collect()
     assert [r.text for r in got] == ["x [email] y", ""]
