@@ -9,8 +9,8 @@ tokens and of one unseen type sum to one.
 The class model is log-bilinear: the context's vectors, scaled per position,
 predict the vector of the next class.  It is trained in numpy by
 noise-contrastive estimation: every partition of training documents runs
-stochastic steps over its own documents, drawing every ``STRIDE``-th position,
-and the parameters are averaged, weighted by the positions seen.  The log
+stochastic steps over all positions of its own documents, and the parameters
+are averaged, weighted by the positions seen.  The log
 normaliser of each context is tabulated once by batched matrix products, so
 scores are normalised log-probabilities.
 
@@ -34,7 +34,6 @@ from linkloom.llm.toxicity import fold
 #: Tokens that are classes of their own, the end token among them.
 TOP = 511
 DEPTH = 16
-STRIDE = 8
 #: Most frequent tokens whose counts every task holds.
 KNOWN = 1 << 18
 #: Distinct tokens that a task holds before it passes counts on.
@@ -137,21 +136,26 @@ class LogBilinear:
         """One Adagrad step of noise-contrastive estimation.
 
         There are few classes, so the noise term is taken in expectation over
-        the noise distribution instead of over samples of it.
+        the noise distribution instead of over samples of it.  Scores depend on
+        the context alone, so positions of one context are taken together.
         """
+        total_w, n = np.float32(len(w)), len(self.q)
+        pairs, of_pair, times = np.unique(a * (n + 1) + b, return_inverse=True, return_counts=True)
+        cells, data = np.unique(of_pair * n + w, return_counts=True)
+        a, b = pairs // (n + 1), pairs % (n + 1)
         ra, rb = self.r[a], self.r[b]
         pred = self.c[0] * ra + self.c[1] * rb
         s = pred @ self.q.T
         s += self.bias - self.log_noise - np.float32(np.log(NOISE))
         np.clip(s, -30, 30, out=s)
-        every = np.arange(len(w))
-        g_data = 1 / (1 + np.exp(s[every, w]))  # ascent on log sigma(s) at the data
+        g_data = data / (1 + np.exp(s.ravel()[cells]))  # ascent on log sigma(s) at the data
         np.negative(s, out=s)
         np.exp(s, out=s)
         s += 1
         g = (-NOISE * self.noise).astype(np.float32) / s  # and on log(1 - sigma(s)) at the noise
-        g[every, w] += g_data
-        g /= np.float32(len(w))
+        g *= times[:, None].astype(np.float32)
+        g.ravel()[cells] += g_data.astype(np.float32)
+        g /= total_w
         g_pred = g @ self.q
         step_r = np.zeros_like(self.r)
         _scatter(step_r, a, g_pred * self.c[0])
@@ -186,7 +190,7 @@ def _train(start: LogBilinear, classes: Classes):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = LogBilinear(classes.n, start.noise)
         model.load(start.parameters())
-        parts, held, seen, steps = [], 0, 0, 0
+        parts, held, seen = [], 0, 0
 
         def learn() -> int:
             a, b, w = (np.concatenate(x) for x in zip(*parts))
@@ -200,10 +204,8 @@ def _train(start: LogBilinear, classes: Classes):
                 token, of_text = tokens(words)
                 cls = classes.of(token)
                 a, b = contexts(cls, of_text, classes.n)
-                own = slice(steps % STRIDE, None, STRIDE)
-                steps += 1
-                parts.append((a[own], b[own], cls[own]))
-                held += len(parts[-1][2])
+                parts.append((a, b, cls))
+                held += len(cls)
                 if held >= 4 * BATCH:
                     seen += learn()
                     held = 0

@@ -120,6 +120,26 @@ def test_log_bilinear_learns_and_is_normalised():
     assert m.log_prob(a[2:], b[2:], w[2:], z).mean() > np.log(1 / 6) + 0.5
 
 
+def test_language_model_learns_from_every_position():
+    texts = pa.array(["a b c d e f g"] * 5 + [None, "x"])
+    start = log_bilinear.LogBilinear(2, np.array([0.5, 0.5]))
+    learnt = list(log_bilinear._train(start, log_bilinear.Classes(np.array([log_bilinear.END])))([pa.RecordBatch.from_arrays([texts], ["text"])]))
+    assert [set(x["n"].to_pylist()) for x in learnt] == [{5 * 8 + 1 + 2}]
+
+
+def test_log_bilinear_step_sums_over_positions():
+    rng = np.random.default_rng(1)
+    u = np.array([0.4, 0.3, 0.2, 0.1])
+    m = log_bilinear.LogBilinear(4, u)
+    m.q = rng.normal(0, 0.5, m.q.shape).astype(np.float32)
+    a, b, w = (rng.integers(0, k, 200) for k in (5, 5, 4))
+    s = (m.c[0] * m.r[a] + m.c[1] * m.r[b]) @ m.q.T - np.log(log_bilinear.NOISE)  # the bias is the log of the noise
+    g = -log_bilinear.NOISE * u / (1 + np.exp(-s))
+    g[np.arange(200), w] += 1 / (1 + np.exp(s[np.arange(200), w]))
+    m.step(a, b, w)
+    assert np.allclose(m.squares["bias"], (g.mean(0)) ** 2 + 1e-10, rtol=1e-3)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 64), max_size=40))
 def test_packing_is_valid(lengths):
