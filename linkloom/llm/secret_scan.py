@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns and a battery of randomness tests.
 
 Besides the patterns, every run of characters that an encoding could have made
-is a candidate.  Its encoding is inferred from its alphabet (hex, base32,
-base64), and three tests of randomness give p-values under the hypothesis that
+is a candidate; ``=`` belongs to it as padding at its end alone.  Its encoding
+is inferred from its alphabet (hex, base32 and base36 of either case, base64),
+and three tests of randomness give p-values under the hypothesis that
 its characters were drawn uniformly and independently: a chi-squared test of
 uniformity, a test of runs about the alphabet's middle, and a test of lag-one
 serial correlation.  The tests look for departures from randomness, so a text
@@ -37,15 +38,22 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: Candidates are at least so long; shorter runs carry too little evidence.
 LEAST = 20
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}+(?:=++(?![A-Za-z0-9+/_-]))?" % LEAST)
+#: What letters and digits of one case alone are split at: base64 of that length would mix cases.
+PART = re.compile(r"[A-Za-z0-9]{%d,}+=*+" % LEAST)
 #: The false-discovery rate among a document's candidates.
 FDR = 0.01
 ENCODINGS = (
     ("hex", frozenset("0123456789abcdef"), "0123456789abcdef"),
     ("hex", frozenset("0123456789ABCDEF"), "0123456789ABCDEF"),
     ("base32", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("base32", frozenset("abcdefghijklmnopqrstuvwxyz234567"), "abcdefghijklmnopqrstuvwxyz234567"),
+    ("base36", frozenset("0123456789abcdefghijklmnopqrstuvwxyz"), "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("base36", frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
+#: How often text goes from one case (0 lower, 1 upper) to the next; random letters go to either alike.
+TEXT_CASE = {(0, 0): 0.85, (0, 1): 0.15, (1, 0): 0.7, (1, 1): 0.3}
 
 
 def _normal_tail(z: float) -> float:
@@ -102,6 +110,8 @@ def evidence(candidate: str) -> float:
     Random symbols of an alphabet mix character classes at known rates.  Text
     keeps to one class for long; the evidence is the count of changes of class
     (lower, upper, digit) over what text makes, less what the battery objects.
+    Letters of both cases without a digit may be words with capitals, which
+    change class often but in one way, so there each kind of change counts.
     """
     found = infer(candidate)
     if found is None:
@@ -110,13 +120,16 @@ def evidence(candidate: str) -> float:
     if len(symbols) < LEAST:
         return -math.inf
     kinds = [0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 for c in candidate if c.isalnum()]
-    if len(kinds) < LEAST or len(set(kinds)) < (2 if name != "base64" else 3):
-        return -math.inf  # words, a number or a path
-    changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
-    n = len(kinds) - 1
-    rate = {"hex": 0.47, "base32": 0.3, "base64": 0.6}[name]
-    text = 0.12  # text with digits or capitals changes its class about once in eight characters
-    ratio = changes * math.log(rate / text) + (n - changes) * math.log((1 - rate) / (1 - text))
+    if len(kinds) < LEAST or len(set(kinds)) < 2:
+        return -math.inf  # one class never changes, so its ratio is below zero: words, a number or a path
+    if set(kinds) == {0, 1}:
+        ratio = sum(math.log(0.5 / TEXT_CASE[pair]) for pair in zip(kinds, kinds[1:]))
+    else:
+        changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
+        n = len(kinds) - 1
+        rate = {"hex": 0.47, "base32": 0.3, "base36": 0.4, "base64": 0.6}[name]
+        text = 0.12  # text with digits or capitals changes its class about once in eight characters
+        ratio = changes * math.log(rate / text) + (n - changes) * math.log((1 - rate) / (1 - text))
     worst = min(battery(symbols, size))
     return ratio + math.log(max(worst, 1e-300) * 3) if worst < 1 / 3 else ratio
 
@@ -136,6 +149,14 @@ def select(candidates: list[tuple[int, int, str]], rate: float = FDR) -> list[tu
     return [s for _, s in scored[:keep]]
 
 
+def _parts(m: re.Match) -> list[tuple[int, int, str]]:
+    """A candidate, or its long parts where separators stand between letters of one case."""
+    run = m.group()
+    if run.rstrip("=").isalnum() or run.lower() != run != run.upper():
+        return [(m.start(), m.end(), run)]
+    return [(m.start() + p.start(), m.start() + p.end(), p.group()) for p in PART.finditer(run)]
+
+
 def spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all secrets of a text in order; code points, end exclusive."""
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
@@ -147,11 +168,11 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     ends = []
     for a, _, b in base:
         ends.append((a, max(b, ends[-1][1]) if ends else b))
-    for m in CANDIDATE.finditer(text):
-        while at < len(ends) and ends[at][1] <= m.start():
+    for start, end, run in (p for m in CANDIDATE.finditer(text) for p in _parts(m)):
+        while at < len(ends) and ends[at][1] <= start:
             at += 1
-        if at == len(ends) or ends[at][0] >= m.end():
-            free.append((m.start(), m.end(), m.group()))
+        if at == len(ends) or ends[at][0] >= end:
+            free.append((start, end, run))
     return sorted(base + [(a, 3, b) for a, b in select(free)])
 
 

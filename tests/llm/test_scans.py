@@ -188,3 +188,24 @@ def test_battery_on_random_and_regular_symbols():
     fair = [rng.randrange(16) for _ in range(64)]
     assert min(secret_scan.battery(fair, 16)) > 0.001
     assert min(secret_scan.battery([0, 15] * 32, 16)) < 1e-6 and min(secret_scan.battery([3] * 64, 16)) < 1e-6
+
+
+def test_secrets_of_one_case_and_after_an_equals_sign():
+    import random
+
+    rng = random.Random(9)
+    key = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = (lower + digits, (lower + digits).upper(), lower + "234567", lower + lower.upper(), lower + lower.upper() + digits + "+/")
+    for before in ("see ", "AWS_SECRET_ACCESS_KEY=", "sig=", "client_key=", "aws-access-settings/"):
+        for letters in alphabets[:1] if before.endswith("/") else alphabets:
+            hits = 0
+            for _ in range(20):
+                value = key(letters, 96)
+                found = [(a, b) for a, k, b in secret_scan.spans(f"{before}{value} end") if k == 3]
+                hits += found == [(len(before), len(before) + 96)]
+            assert hits >= 10, (before, letters, hits)
+    padded = key(alphabets[4], 43) + "="
+    assert secret_scan.spans(f"x={padded} y") == [(2, 3, 46)]
+    for text in ("some_long_name_of_a_variable=another_long_name_of_a_value", "aVeryLongCamelCaseNameOfSomething=ValueOfSomethingElseInCamelCase", "internationalization2024release", "page-1-item-2-part-3-line-4-word-5", "THE_MAX_SIZE_OF_BUFFER_2_AND_3"):
+        assert secret_scan.spans(text) == [], text
