@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,31 +15,32 @@ def rank_disjoint(ranked: DataFrame) -> DataFrame:
 
 
 def checkpoints(spark) -> None:
-    """Checkpoints go to the folder the cluster names; to one of our own only where none is set."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    """Checkpoints go to the folder the cluster names; without one only local mode gets a folder of its own."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
-def greedy_bipartite(scored: DataFrame, tau: float = 0.0, cap: int = 6, most_rounds: int = 1000) -> DataFrame:
+def greedy_bipartite(scored: DataFrame, tau: float = 0.0, cap: int = 6) -> DataFrame:
     """The greedy matching by p: an edge is taken if its candidate is free and its entity holds fewer than ``cap``.
 
     Edges have one order (p down, then s1, then cand).  In each round every
     edge is taken that is its candidate's best and within its entity's free
     places; what such edges exclude is dropped.  That gives what going through
     all edges one by one gives, in as many rounds as the longest chain of
-    edges that wait for each other.  Each round is checkpointed.
+    edges that wait for each other.  The first edge in order is taken in any
+    round, so the loop ends by itself.  Each round is checkpointed.
     """
     checkpoints(scored.sparkSession)
     left = scored.filter(F.col("p") >= tau).select("s1", "cand", "p").checkpoint()
     taken, out = None, None
     of_cand = Window.partitionBy("cand").orderBy(F.desc("p"), "s1")
     of_s1 = Window.partitionBy("s1").orderBy(F.desc("p"), "cand")
-    for _ in range(most_rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         used = left.withColumn("used", F.lit(0)) if taken is None else left.join(taken, "s1", "left").withColumn("used", F.coalesce("used", F.lit(0)))
         seen = used.withColumn("c", F.row_number().over(of_cand)).withColumn("e", F.row_number().over(of_s1))
         now = seen.filter((F.col("c") == 1) & (F.col("e") + F.col("used") <= cap)).select("s1", "cand", "p").checkpoint()

@@ -38,6 +38,10 @@ def metrics(pairs: DataFrame, records: DataFrame) -> DataFrame:
     }).drop("a", "b", "_n", "_d", "_c", "_s")
 
 
+#: The names of :func:`modes`.
+MODES = ("mode1_colocation", "mode2_suffix_inflation", "mode3_franchise", "mode4_street_mismatch", "mode5_low_mutual", "old_flagged", "expanded_flagged")
+
+
 def modes() -> dict[str, Column]:
     """The five failure modes, the older flag, and whether any holds, over :func:`metrics` columns."""
     c = F.col
@@ -92,7 +96,7 @@ def suspicious(name_sim: Column, addr_sim: Column, same_place: Column) -> tuple[
 
 def mode_counts(audited: DataFrame) -> DataFrame:
     """Per country: pairs, flagged pairs, and pairs of each mode with their share of the flagged ones."""
-    names = [k for k in modes() if k.startswith("mode")]
+    names = [k for k in MODES if k.startswith("mode")]
     flagged = F.count_if("expanded_flagged")
     return audited.groupBy("country").agg(
         F.count(F.lit(1)).alias("pairs"), flagged.alias("flagged"), *[F.count_if(n).alias(n) for n in names],

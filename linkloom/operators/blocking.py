@@ -3,8 +3,10 @@
 A record gives rows (country, space, key, channel, weight); candidates come
 from an equi-join on (country, space, key).  Keys are bags: a key that a record
 gives twice counts twice, and it is summed up before the join, so that a pair
-of records gives one row per key and not one per occurrence.  Keys with too
-long lists are dropped before the join, on both sides, which is what bounds it.
+of records gives one row per key and not one per occurrence.  A channel's cap
+drops keys with longer candidate lists before the join; only four-letter
+prefixes have one by default.  :func:`preselected` needs no cap, as equal
+records meet once.
 """
 
 from __future__ import annotations
@@ -98,21 +100,21 @@ def key_counts(cand_keys: DataFrame) -> DataFrame:
     return cand_keys.groupBy("country", "space", "key").agg(F.sum("n").alias("postings"))
 
 
-def _capped(cand_keys: DataFrame, config: BlockingConfig) -> DataFrame:
+def capped(cand_keys: DataFrame, config: BlockingConfig) -> DataFrame:
+    """Without the keys whose lists are too long; lists are counted by partial aggregation, so none is gathered."""
     limits = {SPACES.get(c, c): config.caps.get(c, config.cap) for c in config.channels}
     bounded = {s: c for s, c in limits.items() if c is not None}
     if not bounded:
         return cand_keys
     limit = F.create_map(*[F.lit(x) for pair in bounded.items() for x in pair])
-    of_key = Window.partitionBy("country", "space", "key")
-    counted = cand_keys.filter(F.col("space").isin(list(bounded))).withColumn("_m", F.sum("n").over(of_key)).filter(F.col("_m") <= F.try_element_at(limit, F.col("space"))).drop("_m")
-    return cand_keys.filter(~F.col("space").isin(list(bounded))).unionByName(counted)
+    long = key_counts(cand_keys.filter(F.col("space").isin(list(bounded)))).filter(F.col("postings") > F.try_element_at(limit, F.col("space")))
+    return cand_keys.join(long.select("country", "space", "key"), ["country", "space", "key"], "left_anti")
 
 
 def shared_keys(s1: DataFrame, cands: DataFrame, config: BlockingConfig = BlockingConfig()) -> DataFrame:
     """s1, cand, channel, votes for each key two records share; a candidate's channel is not looked at, as lists are shared by space."""
     a = keys(s1, config).select(F.col("entity_id").alias("s1"), "country", "space", "key", "channel", "weight", F.col("n").alias("n1"))
-    b = _capped(keys(cands, config).groupBy("entity_id", "country", "space", "key").agg(F.sum("n").alias("n")), config).select(F.col("entity_id").alias("cand"), "country", "space", "key", "n")
+    b = capped(keys(cands, config).groupBy("entity_id", "country", "space", "key").agg(F.sum("n").alias("n")), config).select(F.col("entity_id").alias("cand"), "country", "space", "key", "n")
     return a.join(b, ["country", "space", "key"]).select("s1", "cand", "channel", (F.col("weight") * F.col("n1") * F.col("n")).alias("votes"))
 
 
@@ -136,7 +138,7 @@ def preselected(s1: DataFrame, cands: DataFrame, most: int, config: BlockingConf
     bag's candidate after its first ``most``.
     """
     a = _bags(keys(s1, config), F.col("weight") * F.col("n"), "s1", "bag_a")
-    b = _bags(_capped(keys(cands, config), config), F.col("n"), "cand", "bag_b")
+    b = _bags(capped(keys(cands, config), config), F.col("n"), "cand", "bag_b")
     keyed = lambda df, label, n, *more: df.select(label, *more, F.explode("bag").alias("k")).select(label, *more, "k.country", "k.space", "k.key", F.col("k.n").alias(n))
     left = keyed(a.groupBy("bag_a").agg(F.first("bag").alias("bag")), "bag_a", "n1")
     right = keyed(b.groupBy("bag_b").agg(F.first("bag").alias("bag"), F.min("cand").alias("least")), "bag_b", "n2", "least")
@@ -202,11 +204,19 @@ def assemble(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
-def exhaustive(s1: DataFrame, cands: DataFrame) -> DataFrame:
-    """Pairs of a country that share any word of name or address, found by key instead of by comparing all pairs.
+def plausible(s1: DataFrame, cands: DataFrame) -> DataFrame:
+    """Candidates that look like matches of a few probed entities, whether blocking finds them or not: s1, cand, ns, asim.
 
-    A probe of what blocking misses: every word is a key, so it is for samples
-    of S1 and not for whole tables.
+    Rows carry raw names and addresses.  The probed entities are a sample, so
+    their side is broadcast and every candidate of their countries is looked
+    at once; a candidate must hold a word of the name or the address, and be
+    like both.
     """
-    side = lambda df, who: df.select(F.col("entity_id").alias(who), "country", F.explode(F.array_distinct(F.concat(N.tokens(F.col("name_norm")), N.tokens(F.col("addr_norm"))))).alias("word"))
-    return side(s1, "s1").join(side(cands, "cand"), ["country", "word"]).select("s1", "cand").distinct()
+    low = lambda c: F.lower(N.text(F.col(c)))
+    words = lambda c: F.regexp_extract_all(low(c), F.lit(r"[\p{L}\p{N}_]{3,}"), F.lit(0))
+    left = s1.select(F.col("entity_id").alias("s1"), "country", words("business_name").alias("nw"), words("business_address").alias("aw"), low("business_name").alias("an"), low("business_address").alias("aa"))
+    right = cands.select(F.col("entity_id").alias("cand"), "country", low("business_name").alias("bn"), low("business_address").alias("ba"))
+    met = right.join(F.broadcast(left), "country").filter(F.exists("nw", lambda w: F.contains("bn", w)) | F.exists("aw", lambda w: F.contains("ba", w)))
+    like = lambda a, b: S.similarities(F.col(a), F.col(b), "token_sort")["token_sort"]
+    met = met.withColumns({"ns": like("an", "bn"), "asim": like("aa", "ba")})
+    return met.filter(((F.col("ns") >= 80) & (F.col("asim") >= 55)) | ((F.col("ns") >= 90) & (F.col("asim") >= 40))).select("s1", "cand", "ns", "asim")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import similarity as S
+from linkloom.operators import assign
 
 
 def _by_p() -> Window:
@@ -65,27 +66,27 @@ def cliff(scored: DataFrame, least: float = 0.75, gap: float = 0.08, cap: int |
     return _take(df.withColumn("falls", F.sum("fall").over(_running())), F.col("falls") == 0, cap)
 
 
-def gap_cut(scored: DataFrame, least: float = 0.75, least_gap: float = 0.05, otherwise: int = 4) -> DataFrame:
+def gap_cut(scored: DataFrame, least: float = 0.75, least_gap: float = 0.05, otherwise: int = 4, cap: int | None = 10) -> DataFrame:
     """Down to the largest fall, the first of equal ones, if it is ``least_gap`` or more; else the first few."""
     df = ranked(scored.filter(F.col("p") >= least)).withColumn("gap", F.round(F.col("p") - F.lead("p").over(_by_p()), 9))
     whole = Window.partitionBy("s1")
     best = F.max(F.struct(F.coalesce("gap", F.lit(-1.0)).alias("gap"), (-F.col("rank")).alias("back"))).over(whole)
     df = df.withColumn("best", best)
     cut = F.when(F.col("best.gap") >= least_gap, -F.col("best.back")).otherwise(otherwise)
-    return _take(df, F.col("rank") <= cut)
+    return _take(df, F.col("rank") <= cut, cap)
 
 
-def softmax_mass(scored: DataFrame, temperature: float = 0.15, mass: float = 0.88, cap: int | None = 6) -> DataFrame:
-    """The best, and others while the mass so far, their own included, is at most ``mass``."""
-    df = ranked(scored).withColumn("e", F.exp((F.col("p") - F.col("p1")) / temperature))
+def softmax_mass(scored: DataFrame, least: float = 0.75, temperature: float = 0.15, mass: float = 0.88, cap: int | None = 6) -> DataFrame:
+    """Of those of at least ``least``, the best, and others while the mass so far, their own included, is at most ``mass``."""
+    df = ranked(scored.filter(F.col("p") >= least)).withColumn("e", F.exp((F.col("p") - F.col("p1")) / temperature))
     share = F.sum("e").over(_running()) / F.sum("e").over(Window.partitionBy("s1"))
     return _take(df.withColumn("share", F.round(share, 9)), (F.col("rank") == 1) | (F.col("share") <= mass), cap)
 
 
-def rank_adaptive(scored: DataFrame, first: float = 0.7, others: float = 0.8, gap: float = 0.35) -> DataFrame:
+def rank_adaptive(scored: DataFrame, first: float = 0.5, others: float = 0.7, gap: float = 0.35, cap: int | None = 10) -> DataFrame:
     """One bar for the best candidate and another, with a limit on the distance to it, for the rest."""
     rest = (F.col("rank") > 1) & (F.col("p") >= others) & (F.round(F.col("p1") - F.col("p"), 9) <= gap)
-    return _take(ranked(scored), ((F.col("rank") == 1) & (F.col("p") >= first)) | rest)
+    return _take(ranked(scored), ((F.col("rank") == 1) & (F.col("p") >= first)) | rest, cap)
 
 
 def _with_top(df: DataFrame, text: str) -> DataFrame:
@@ -100,10 +101,10 @@ def two_stage_consensus(scored: DataFrame, text: str = "cand_name", least: float
 
 
 def triplet_consensus(scored: DataFrame, least: float = 0.75, delta: float = 0.08, own: float = 40.0, top: float = 45.0, cap: int | None = 6) -> DataFrame:
-    """The margin rule, and a name like the entity's and like the best candidate's; rows carry s1_name and cand_name."""
+    """The margin rule, and for all but the best candidate a name like the entity's and like the best one's; rows carry s1_name and cand_name."""
     df = _with_top(scored, "cand_name").filter((F.col("p") >= least) & (F.round(F.col("p1") - F.col("p"), 9) <= delta))
     like = lambda a, b: S.similarities(F.col(a), F.col(b), "token_sort")["token_sort"]
-    return _take(df.withColumns({"x": like("s1_name", "cand_name"), "y": like("top_text", "cand_name")}), (F.col("x") >= own) & (F.col("y") >= top), cap)
+    return _take(df.withColumns({"x": like("s1_name", "cand_name"), "y": like("top_text", "cand_name")}), (F.col("rank") == 1) | ((F.col("x") >= own) & (F.col("y") >= top)), cap)
 
 
 def hybrid_guard(scored: DataFrame, least: float = 0.75, delta: float = 0.08, top: float = 45.0, cap: int | None = 6) -> DataFrame:
@@ -112,14 +113,14 @@ def hybrid_guard(scored: DataFrame, least: float = 0.75, delta: float = 0.08, to
     return _take(df.withColumn("like", S.similarities(F.col("top_text"), F.col("cand_name"), "token_sort")["token_sort"]), F.col("like") >= top, cap)
 
 
-def disambiguate(scored: DataFrame, least: float = 0.65, sim: float = 45.0, gap: float = 0.08, text: str = "cand_name") -> DataFrame:
+def disambiguate(scored: DataFrame, least: float = 0.65, sim: float = 45.0, gap: float = 0.08, text: str = "cand_name", cap: int | None = 10) -> DataFrame:
     """Drops later candidates whose name is unlike the best one's and whose p is far from its."""
     df = _with_top(scored.filter(F.col("p") >= least), text).withColumn("like", S.similarities(F.col("top_text"), F.col(text), "token_sort")["token_sort"])
-    return _take(df, ~((F.col("rank") > 1) & (F.col("like") < sim) & (F.round(F.col("p1") - F.col("p"), 9) > gap)))
+    return _take(df, ~((F.col("rank") > 1) & (F.col("like") < sim) & (F.round(F.col("p1") - F.col("p"), 9) > gap)), cap)
 
 
-def feature_augmented(scored: DataFrame, least: float = 0.75, name: float = 45.0) -> DataFrame:
-    return _take(scored, (F.col("p") >= least) & (F.col("name_sim") >= name))
+def feature_augmented(scored: DataFrame, least: float = 0.75, name: float = 45.0, cap: int | None = 6) -> DataFrame:
+    return _take(scored, (F.col("p") >= least) & (F.col("name_sim") >= name), cap)
 
 
 def guard_d(name: float = 45.0, addr: float = 70.0) -> Column:
@@ -141,26 +142,27 @@ def name_bars(scored: DataFrame, which: str, tau: float = 0.75) -> DataFrame:
     return _take(scored, F.col("p") >= need)
 
 
-def production(scored: DataFrame, guarded: tuple[str, ...] = ("France",)) -> DataFrame:
+def production(scored: DataFrame, guarded: tuple[str, ...] = ("France",), least: float = 0.75) -> DataFrame:
     """The dynamic margin with guard D in some countries; a guarded best candidate still sets the margin."""
     df = ranked(scored)
-    inside = (F.col("p") >= 0.75) & (F.round(F.col("p1") - F.col("p"), 9) <= 0.08)
+    inside = (F.col("p") >= least) & (F.round(F.col("p1") - F.col("p"), 9) <= 0.08)
     return _take(df, inside & ~(F.col("country").isin(list(guarded)) & guard_d()), 6)
 
 
-def grand_synthesis(scored: DataFrame, least: float = 0.75, delta: float = 0.08, gap: float = 0.07, cap: int = 5) -> DataFrame:
-    """Margin, guard D and a cliff between accepted neighbours, where guarded rows don't move the last accepted p.
+def synthesis_edges(scored: DataFrame, least: float = 0.75, delta: float = 0.08, gap: float = 0.07, cap: int = 5) -> DataFrame:
+    """Margin, guard D and a cliff: a row must be within ``gap`` of the last accepted p, at first the best p, guarded or not.
 
-    The last step depends on what was accepted before, so an entity's bounded
+    Guarded rows are passed over and don't move the last accepted p.  What is
+    accepted depends on what was accepted before, so an entity's bounded
     candidates are folded in order.
     """
     df = ranked(scored).filter((F.col("p") >= least) & (F.round(F.col("p1") - F.col("p"), 9) <= delta)).withColumn("bad", guard_d())
-    lists = df.groupBy("s1").agg(F.array_sort(F.collect_list(F.struct("rank", "cand", "p", "bad"))).alias("x"))
+    lists = df.groupBy("s1").agg(F.max("p1").alias("p1"), F.array_sort(F.collect_list(F.struct("rank", "cand", "p", "bad"))).alias("x"))
     none = F.array().cast("array<struct<cand:string,p:double>>")
-    start = F.struct(none.alias("out"), F.lit(None).cast("double").alias("last"), F.lit(False).alias("done"))
+    start = F.struct(none.alias("out"), F.col("p1").alias("last"), F.lit(False).alias("done"))
 
     def step(acc: Column, x: Column) -> Column:
-        stop = acc["done"] | F.coalesce(F.round(acc["last"] - x["p"], 9) > gap, F.lit(False))
+        stop = acc["done"] | (F.round(acc["last"] - x["p"], 9) > gap)
         grown = F.struct(F.concat(acc["out"], F.array(F.struct(x["cand"].alias("cand"), x["p"].alias("p")))).alias("out"), x["p"].alias("last"), F.lit(False).alias("done"))
         return F.when(stop, F.struct(acc["out"].alias("out"), acc["last"].alias("last"), F.lit(True).alias("done"))).when(x["bad"], acc).otherwise(grown)
 
@@ -168,6 +170,12 @@ def grand_synthesis(scored: DataFrame, least: float = 0.75, delta: float = 0.08,
     return folded.select("s1", "m.cand", "m.p", (F.col("i") + 1).alias("rank"))
 
 
+def grand_synthesis(scored: DataFrame, least: float = 0.75, delta: float = 0.08, gap: float = 0.07, cap: int = 5) -> DataFrame:
+    """The edges of :func:`synthesis_edges`, each candidate then given to one entity by the greedy matching."""
+    edges = synthesis_edges(scored, least, delta, gap, cap)
+    return _take(assign.greedy_bipartite(edges, 0.0, cap), F.lit(True))
+
+
 #: Thresholds of the rule chain: the least name similarity beside a strong address, the least solo name, the least solo address.
 ANCHOR = {"France": (48.0, 74.0, 75.0), "US": (35.0, 74.0, 72.0), "India": (35.0, 74.0, 72.0)}
 ANCHOR_DEFAULT = (35.0, 74.0, 72.0)
@@ -192,12 +200,18 @@ def dual_anchor(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("composite", composite).withColumn("rule", rule)
 
 
-def rule_grid(pairs: DataFrame, names: list[float], addrs: list[float]) -> DataFrame:
-    """name_cut, addr_cut, accepted and true pairs for each point of a grid, in one pass; rows carry name_sim, addr_sim and hit."""
-    grid = [(x, y) for x in names for y in addrs]
-    out = pairs.agg(*[F.struct(F.count_if((F.col("name_sim") >= x) & (F.col("addr_sim") >= y)).alias("accepted"), F.count_if((F.col("name_sim") >= x) & (F.col("addr_sim") >= y) & (F.col("hit") == 1)).alias("correct")).alias(f"g{i}") for i, (x, y) in enumerate(grid)])
-    points = F.array(*[F.struct(F.lit(x).alias("name_cut"), F.lit(y).alias("addr_cut"), F.col(f"g{i}.accepted").alias("accepted"), F.col(f"g{i}.correct").alias("correct")) for i, (x, y) in enumerate(grid)])
-    return out.select(F.inline(points))
+def rule_grid(pairs: DataFrame, names: list[float], addrs: list[float], ps: list[float] = [0.0]) -> DataFrame:
+    """name_cut, addr_cut, p_cut, accepted and true pairs for each point of a grid, in one pass; rows carry name_sim, addr_sim, p and hit.
+
+    A pair falls in one cell of the grid, the last cuts that it reaches; cells
+    are counted, and a point's counts are the sums of the cells at or above it.
+    """
+    last = lambda value, cuts: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= value))
+    cells = pairs.groupBy(last(F.col("name_sim"), names).alias("i"), last(F.col("addr_sim"), addrs).alias("j"), last(F.col("p"), ps).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("h"))
+    points = [(float(x), float(y), float(z), i, j, k) for i, x in enumerate(names, 1) for j, y in enumerate(addrs, 1) for k, z in enumerate(ps, 1)]
+    grid = pairs.sparkSession.createDataFrame(points, "name_cut double, addr_cut double, p_cut double, gi int, gj int, gk int")
+    sums = F.broadcast(grid).join(cells, (F.col("i") >= F.col("gi")) & (F.col("j") >= F.col("gj")) & (F.col("k") >= F.col("gk")), "left")
+    return sums.groupBy("name_cut", "addr_cut", "p_cut").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("accepted"), F.coalesce(F.sum("h"), F.lit(0)).alias("correct"))
 
 
 def ensemble(kind: str, *ps: str, weights: tuple[float, ...] | None = None) -> Column:

@@ -6,9 +6,14 @@ holds every S1 entity, so entities without edges count.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.operators import assign, sampling
+
 BETA2 = 0.25
 
 
@@ -173,12 +178,48 @@ def best_tau(swept: DataFrame) -> DataFrame:
     return swept.agg(best.alias("b")).select((-F.col("b.back")).alias("tau"), F.col("b.f05").alias("f05"))
 
 
+def bipartite_grid(scored: DataFrame, truth: DataFrame, entities: DataFrame, taus: list[float], caps: list[int]) -> DataFrame:
+    """tau, cap, f05 and mean matches of the greedy matching at each point of a grid.
+
+    The matching takes edges from the best p down, so the one at a higher
+    threshold is the start of the one at a lower: it is made once for each cap.
+    """
+    parts = []
+    for cap in caps:
+        matched = assign.greedy_bipartite(scored, min(taus), cap)
+        f05 = sweep(matched, truth, entities, taus)
+        size = entities.agg(F.count(F.lit(1)).alias("n")).crossJoin(matched.agg(*[F.count_if(F.col("p") >= t).alias(f"m{i}") for i, t in enumerate(taus)]))
+        means = size.select(F.inline(F.array(*[F.struct(F.lit(t).alias("tau"), F.round(F.col(f"m{i}") / F.col("n"), 6).alias("matches")) for i, t in enumerate(taus)])))
+        parts.append(f05.join(means, "tau").select("tau", F.lit(cap).alias("cap"), "f05", "matches"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def best_point(grid: DataFrame) -> DataFrame:
+    """The point of the best score; of equal ones the least threshold, then the least cap."""
+    best = F.max(F.struct("f05", (-F.col("tau")).alias("t"), (-F.col("cap")).alias("c"), "matches"))
+    return grid.agg(best.alias("b")).select((-F.col("b.t")).alias("tau"), (-F.col("b.c")).alias("cap"), F.col("b.f05").alias("f05"), F.col("b.matches").alias("matches"))
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation with mean ranks for ties, over a small table such as one of features."""
-    def mean_rank(c: str) -> Column:
-        return F.rank().over(Window.partitionBy(F.lit(1)).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2.0
+    """Rank correlation with mean ranks for ties.
+
+    Values are counted first; the running sum that ranks them goes over
+    ranges of values, each range in a task of its own, with the rows before
+    it known from the ranges' counts.
+    """
+    rows = df.select(F.col(x).alias("x"), F.col(y).alias("y")).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
 
-    return df.select(mean_rank(x).alias("x"), mean_rank(y).alias("y")).agg(F.round(F.corr("x", "y"), 6).alias("rho"), F.count(F.lit(1)).alias("n"))
+    def ranks(c: str) -> DataFrame:
+        counts = rows.groupBy(c).agg(F.count(F.lit(1)).alias("n")).repartitionByRange(F.col(c)).withColumn("part", F.spark_partition_id())
+        counts = counts.checkpoint()
+        parts = counts.groupBy("part").agg(F.sum("n").alias("m"))
+        before = parts.alias("a").join(parts.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.m"), F.lit(0)).alias("before"))
+        within = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        rank = F.col("before") + within + (F.col("n") + 1) / 2.0
+        return counts.join(F.broadcast(before), "part").select(c, rank.alias(f"r{c}"))
+
+    assign.checkpoints(df.sparkSession)
+    return rows.join(ranks("x"), "x").join(ranks("y"), "y").agg(F.round(F.corr("rx", "ry"), 6).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def match_rate(counts: DataFrame) -> DataFrame:
@@ -191,15 +232,20 @@ def truncation_stats(counts: DataFrame, k: int) -> DataFrame:
     return counts.groupBy("country").agg(F.sum("matches").alias("pairs"), F.sum(kept).alias("kept"), F.round(1 - F.sum(kept) / F.greatest(F.sum("matches"), F.lit(1)), 6).alias("reduction"))
 
 
+def poisson_steps(rate: float) -> list[float]:
+    """The distribution function of a Poisson number at 0, 1, 2, ..., as far as a draw of 32 bits can tell."""
+    steps, term, total, k = [], math.exp(-rate), 0.0, 0
+    while total < 1 - 2.0**-33 and term > 0:
+        total += term
+        steps.append(total)
+        k += 1
+        term *= rate / k
+    return steps
+
+
 def simulate_noise(scores: DataFrame, extra_rate: float, seed: int = 0) -> DataFrame:
     """Macro F0.5 if every entity got a Poisson number of wrong matches; the draw is a function of the id and the seed."""
-    u = F.pmod(F.xxhash64("s1", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-    import math
-
-    cumulative, total = [], 0.0
-    for k in range(12):
-        total += math.exp(-extra_rate) * extra_rate**k / math.factorial(k)
-        cumulative.append(total)
-    extra = F.size(F.filter(F.array(*map(F.lit, cumulative)), lambda c: c < u))
+    u = sampling.draw(F.col("s1"), seed) / 4294967296.0
+    extra = F.size(F.filter(F.array(*map(F.lit, poisson_steps(extra_rate))), lambda c: c < u))
     noisy = scores.withColumn("_s", _scores(F.col("tp"), F.col("n_true"), F.col("n_pred") + extra))
     return noisy.agg(F.round(F.avg("_s.f05"), 6).alias("f05"), F.count(F.lit(1)).alias("entities"))

@@ -101,3 +101,20 @@ def against_top(scored: DataFrame) -> DataFrame:
 def zip_by_position(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of two files by their place, and whether their ids agree; both carry row_pos and s1."""
     return a.join(b.withColumnRenamed("s1", "other"), "row_pos").withColumn("same", F.col("s1") == F.col("other"))
+
+
+def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
+    """One row of each key, the first by ``order``, which is unique; keys are merged before the shuffle."""
+    first = F.min(F.struct(F.col(order).alias("_o"), F.struct(*df.columns).alias("_row"))).alias("_m")
+    return df.groupBy(F.col(key).alias("_k")).agg(first).select("_m._row.*")
+
+
+def lookup(df: DataFrame, ids: DataFrame, key: str = "entity_id") -> DataFrame:
+    """The rows of a scan whose key is among ``ids``; ids are distinct, so no row is repeated."""
+    return df.join(ids.select(ids.columns[0]).distinct(), df[key] == F.col(ids.columns[0]), "left_semi")
+
+
+def with_distractors(pool: DataFrame, needed: DataFrame, n: int) -> DataFrame:
+    """The needed records of a pool and its first n rows, each once."""
+    head = pool.orderBy("row_pos").limit(n)
+    return keep_first(lookup(pool, needed).unionByName(head), "entity_id", "row_pos")

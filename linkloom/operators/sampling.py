@@ -51,6 +51,42 @@ def fold(key: Column, folds: int = 5, seed: int = 0) -> Column:
     return (draw(key, seed) % folds).cast("int")
 
 
+#: Parts of the draws' range that are counted before any rows are ranked.
+PARTS = 4096
+
+
+def least_draws(df: DataFrame, stratum: Column, key: str, size: Column, seed: int = 42) -> DataFrame:
+    """Exactly ``size`` rows of each stratum, those with the least draws; ``size`` may use ``_n``, the stratum's rows, and ``_all``.
+
+    Draws are counted in parts of their range, which tells in which part a
+    stratum's sample ends; only that part's rows are ranked, so a stratum of
+    a third of all rows is spread over all tasks.
+    """
+    parts = F.floor(F.col("_u") / (2**32 // PARTS)).cast("int")
+    rows = df.withColumn("_g", stratum).withColumn("_u", draw(F.col(key), seed)).withColumn("_p", parts)
+    counts = rows.groupBy("_g", "_p").agg(F.count(F.lit(1)).alias("_c"))
+    total = counts.agg(F.sum("_c").alias("_all"))
+    sizes = counts.groupBy("_g").agg(F.sum("_c").alias("_n")).crossJoin(F.broadcast(total)).withColumn("_k", size).select("_g", "_k")
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = counts.withColumn("_b", before).join(sizes, "_g").select("_g", "_p", "_c", "_b", "_k").filter(F.col("_b") < F.col("_k"))
+    near = rows.join(places, ["_g", "_p"])
+    whole = near.filter(F.col("_b") + F.col("_c") <= F.col("_k"))
+    rank = F.row_number().over(Window.partitionBy("_g", "_p").orderBy("_u", key))
+    last = near.filter(F.col("_b") + F.col("_c") > F.col("_k")).withColumn("_r", rank).filter(F.col("_b") + F.col("_r") <= F.col("_k")).drop("_r")
+    return whole.unionByName(last).drop("_g", "_u", "_p", "_c", "_b", "_k")
+
+
+def stratified_split(df: DataFrame, stratum: Column, key: str, held: float = 0.2, seed: int = 42) -> DataFrame:
+    """``df`` with ``held``: of each stratum exactly its share, rounded half to even."""
+    some = least_draws(df, stratum, key, F.bround(F.col("_n") * held, 0).cast("long"), seed).select(F.col(key).alias("_key"))
+    return df.join(some.withColumn("held", F.lit(True)), F.col(key) == F.col("_key"), "left").drop("_key").withColumn("held", F.coalesce("held", F.lit(False)))
+
+
+def proportional(df: DataFrame, stratum: Column, key: str, n: int, seed: int = 42) -> DataFrame:
+    """About ``n`` rows: of each stratum its share of them, one at least."""
+    return least_draws(df, stratum, key, F.greatest(F.lit(1), F.floor(F.col("_n") / F.col("_all") * n)), seed)
+
+
 def by_flag(df: DataFrame, flag: str, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows with the flag and n without."""
     return per_group(df, F.col(flag).cast("string"), key, {"true": n, "false": n}, seed)

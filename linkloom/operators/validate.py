@@ -94,3 +94,34 @@ def order_kept(out: DataFrame, s1: DataFrame) -> DataFrame:
 def check(holds: Column, message: str) -> Column:
     """Null where the condition holds; stops the query where it does not."""
     return F.assert_true(holds, F.lit(message))
+
+
+def checklist(matches: DataFrame, candidates: DataFrame, s1_ids: DataFrame, countries: DataFrame, headers: DataFrame, validated: DataFrame) -> DataFrame:
+    """The ten items of the final check: item, violations, passed.
+
+    ``matches`` and ``candidates`` hold id lists (s1, ids), ``countries`` an
+    (entity_id, country) row for each record, ``headers`` (given, wanted) rows
+    and ``validated`` the rows of :func:`findings`.  Item 8, the match rate,
+    only reports and counts entities without a match.
+    """
+    n = s1_ids.agg(F.count(F.lit(1)).alias("wanted"))
+    rows = matches.groupBy("s1").agg(F.count(F.lit(1)).alias("m"), F.max(F.size("ids")).alias("longest"), F.count_if(F.size("ids") != F.size(F.array_distinct("ids"))).alias("repeats"), F.flatten(F.collect_list("ids")).alias("ids"))
+    cand = candidates.groupBy("s1").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.size("ids") != F.size(F.array_distinct("ids"))).alias("c_repeats"), F.flatten(F.collect_list("ids")).alias("c_ids"))
+    known = s1_ids.select("s1", F.lit(1).alias("known")).distinct()
+    joined = rows.join(cand, "s1", "full").join(known, "s1", "full")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    out = F.size(F.array_except("ids", F.coalesce("c_ids", F.array().cast("array<string>"))))
+    sums = joined.agg(
+        F.count_if((zero("m") != 1) | (zero("known") == 0)).alias("i1"), F.sum(F.greatest(zero("m") - 1, F.lit(0)) + F.greatest(zero("c") - 1, F.lit(0))).alias("i2"), F.sum(zero("repeats") + zero("c_repeats")).alias("i3"),
+        F.sum(F.coalesce(F.size(F.filter("ids", lambda x: ~x.rlike("^S[23]-"))), F.lit(0))).alias("i4"), F.count_if(F.coalesce(out, F.lit(0)) > 0).alias("i5"), F.count_if((zero("known") == 1) & (zero("longest") == 0)).alias("i8"),
+        F.sum(zero("m")).alias("m_rows"), F.sum(zero("c")).alias("c_rows"),
+    )
+    place = lambda who, c: countries.select(F.col("entity_id").alias(who), F.col("country").alias(c))
+    edges = matches.select("s1", F.explode("ids").alias("cand")).join(place("s1", "a"), "s1").join(place("cand", "b"), "cand")
+    across = edges.agg(F.count_if(F.col("a") != F.col("b")).alias("i6"))
+    heads = headers.agg(F.count_if(F.lower("given") != F.lower("wanted")).alias("i7"))
+    errors = validated.filter("severity = 'error'").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("i9"))
+    one = sums.crossJoin(n).crossJoin(across).crossJoin(heads).crossJoin(errors)
+    one = one.withColumn("i10", F.abs(F.col("m_rows") - F.col("wanted")) + F.abs(F.col("c_rows") - F.col("wanted")))
+    items = F.array(*[F.struct(F.lit(i).alias("item"), F.col(f"i{i}").cast("long").alias("violations"), (F.lit(i == 8) | (F.col(f"i{i}") == 0)).alias("passed")) for i in range(1, 11)])
+    return one.select(F.inline(items))

@@ -1,42 +1,94 @@
 """Relations that queries share, as DataFrames and as SQL text for checking.
 
-Business records are derived from ``documents``: the first words of a text are
-the name and the address, its length gives the numbers, its language is the
-country, and the id decides the source.  Copies of a text are then records of
-one business in several sources.
+Business records are derived from whole texts of ``documents``: the first and
+last words make the name, words of the middle the street and the city, the
+length gives the numbers and the language the country.  The id decides the
+source and how a record is written: legal forms, punctuation, word order,
+scripts, placeholders, doors, landmarks, codes and missing addresses vary with
+it, so copies of a text are differently written records of one business.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from uuid import uuid4
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions import constants as C
 from linkloom.functions import normalize as N
-from linkloom.operators import blocking, features
+from linkloom.functions import similarity as S
+from linkloom.operators import assign, blocking, features
+
+#: Candidates of an entity that pairs are made of, and the channels that find them.
+TOP = 12
+PAIRING = blocking.BlockingConfig(channels=("tok2", "postal", "street", "pin_street", "street_city", "acronym"), top_k=TOP)
+#: Country by language; other languages are countries of their own, which no table knows.
+COUNTRIES = {"en": "US", "fr": "France", "de": "India"}
+STREETS = ("St", "Rd", "Avenue", "rue")
+
+
+#: Tables made in this process: (application, folder, name) to path.
+_MADE: dict[tuple[str, str, str], str] = {}
+
+
+def _kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A relation that many queries read, written once in an application, as the files between the steps of a linkage are.
 
-WORDS = 8
-#: Candidate lists longer than this are no evidence; the query relations leave their keys out.
-KEY_CAP = 500
-PAIRING = blocking.BlockingConfig(channels=("tok2",), cap=KEY_CAP)
+    Readers get a Parquet scan with its pruning instead of the plan that made it.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _MADE:
+        assign.checkpoints(spark)
+        path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/relations/{uuid4().hex}-{name}"
+        make().write.parquet(path)
+        _MADE[key] = path
+    return spark.read.parquet(_MADE[key])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _pick(value: Column, options: list[Column]) -> Column:
+    return F.element_at(F.array(*options), (value + 1).cast("int"))
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """entity_id, business_name, business_address, country, row_pos and sig, the lower-cased first words."""
+    """The records that :func:`made_up` derives."""
+    return _kept(spark, sf_dir, "records", lambda: made_up(spark, sf_dir))
+
+
+def made_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entity_id, business_name, business_address, country, row_pos and sig, a digest of the lower-cased words of the whole text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text")
-    # the pattern is anchored, so a text is read as far as its eighth word and no further
-    start = F.regexp_extract(F.coalesce("text", F.lit("")), rf"^(?:\P{{L}}*+\p{{L}}++){{0,{WORDS}}}", 0)
-    t = docs.withColumn("t", F.filter(F.split(start, r"\P{L}+"), lambda x: x != ""))
-    word = lambda i: F.coalesce(F.get("t", F.lit(i)), F.lit(""))
+    t = docs.withColumn("t", F.filter(F.split(F.coalesce("text", F.lit("")), r"\P{L}+"), lambda x: x != "")).withColumn("n", F.size("t"))
+    word = lambda i: F.coalesce(F.get("t", F.expr(i)), F.lit(""))
+    t = t.select("doc_id", "lang", "n_chars", word("0").alias("w1"), word("1").alias("w2"), word("n - 2").alias("w3"), word("n - 1").alias("w4"), word("n div 2").alias("w5"), word("n div 3").alias("w6"), F.md5(F.lower(F.array_join("t", " ")).cast("binary")).alias("sig"), "n")
+    i, w = F.col("doc_id"), {k: F.col(f"w{k}") for k in range(1, 7)}
+    join = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else w[x] if isinstance(x, int) else x for x in parts])
+    name = _pick(i % 8, [
+        join(1, " ", 2, " ", 3, " ", 4), join(1, " ", 2, " & ", 3, " Ltd."), join(1, " ", 2, ", ", 3, " Private Limited"), join(1, "-", 2, " ", 3, " SARL"),
+        join(3, " ", 1, " ", 2, " Inc"), join(1, " ", 2, " ", 3, " + ", 4, " LLC"), join("राम ", 1, " ", 2, " ", 3, " लिमिटेड"), F.when(i % 64 == 7, "N/A").otherwise(join(1, " ", 2, " ", 3, " Co.")),
+    ])
+    number = (F.col("n_chars") % 90 + 10 + F.when(i % 7 == 3, 2).otherwise(0)).cast("string")
+    street = _pick(i % 4, [F.lit(x) for x in STREETS])
+    zip5 = (F.col("n_chars") % 500 + 10000 + F.when(i % 11 == 4, 1).otherwise(0)).cast("string")
+    pin6 = (F.col("n_chars") % 500 + 110000 + F.when(i % 11 == 4, 1).otherwise(0)).cast("string")
+    near = F.when(i % 5 == 0, join(", near ", 6, " Mall")).otherwise("")
+    door = join(number, "-", (F.col("n_chars") % 7 + 1).cast("string"), "/", (F.col("n_chars") % 5 + 1).cast("string"))
+    at = (
+        F.when(i % 16 == 5, "")
+        .when(F.col("lang") == "en", join(number, " ", 5, " ", street, near, ", ", 6, ", ", zip5, F.when(i % 3 == 0, "-1234").otherwise("")))
+        .when(F.col("lang") == "fr", join("N° ", number, " rue ", 5, ", ", zip5, " ", 6))
+        .when(F.col("lang") == "de", join(door, " ", 5, " ", street, near, ", ", 6, ", ", pin6))
+        .otherwise(join(5, " ", street, " ", number, F.when(i % 3 == 0, "A").otherwise(""), ", PO Box ", (F.col("n_chars") % 9).cast("string"), ", ", 6, ", ", F.when(i % 2 == 0, pin6).otherwise(zip5)))
+    )
+    country = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in COUNTRIES.items() for x in pair]), F.col("lang")), F.col("lang"))
     return t.select(
-        F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"),
-        F.array_join(F.slice("t", 1, 4), " ").alias("business_name"),
-        F.concat((F.col("n_chars") % 90 + 10).cast("string"), F.lit(" "), word(4), F.lit(" "), word(5), F.lit(", "), word(6), F.lit(", "), (F.col("n_chars") % 500 + 10000).cast("string")).alias("business_address"),
-        F.col("lang").alias("country"), F.col("doc_id").alias("row_pos"), F.lower(F.array_join("t", " ")).alias("sig"),
+        join("S", (i % 3 + 1).cast("string"), "-", i.cast("string")).alias("entity_id"), name.alias("business_name"), at.alias("business_address"),
+        country.alias("country"), i.alias("row_pos"), F.when(F.col("n") > 0, F.col("sig")).alias("sig"),
     )
 
 
@@ -48,34 +100,70 @@ def _cases(pairs: list[tuple[str, str]], x: str) -> str:
     return f"CASE {x} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in pairs) + f" ELSE {x} END"
 
 
-_FORMS = [(p[2:-2], label) for p, label in C.LEGAL_SUFFIXES if p.startswith(r"\b") and r"\s" not in p]
-
+_COUNTRY = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in COUNTRIES.items())
 RECORDS = rf"""
 tok AS (SELECT doc_id, lang, n_chars, list_filter(regexp_split_to_array(coalesce(text, ''), '[^\p{{L}}]+'), lambda x: x <> '') AS t FROM documents),
+parts AS (SELECT doc_id AS i, lang, n_chars AS c, len(t) AS n, md5(lower(array_to_string(t, ' '))) AS h, coalesce(t[1], '') AS w1, coalesce(t[2], '') AS w2, CASE WHEN len(t) > 1 THEN t[len(t) - 1] ELSE '' END AS w3,
+  CASE WHEN len(t) > 0 THEN t[len(t)] ELSE '' END AS w4, coalesce(t[len(t) // 2 + 1], '') AS w5, coalesce(t[len(t) // 3 + 1], '') AS w6,
+  CAST(n_chars % 90 + 10 + CASE WHEN doc_id % 7 = 3 THEN 2 ELSE 0 END AS VARCHAR) AS num, (['{"', '".join(STREETS)}'])[doc_id % 4 + 1] AS st,
+  CAST(n_chars % 500 + 10000 + CASE WHEN doc_id % 11 = 4 THEN 1 ELSE 0 END AS VARCHAR) AS zip, CAST(n_chars % 500 + 110000 + CASE WHEN doc_id % 11 = 4 THEN 1 ELSE 0 END AS VARCHAR) AS pin FROM tok),
+near AS (SELECT *, CASE WHEN i % 5 = 0 THEN ', near ' || w6 || ' Mall' ELSE '' END AS nr FROM parts),
 records AS (
-  SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id AS entity_id, array_to_string(t[1:4], ' ') AS business_name,
-         (n_chars % 90 + 10) || ' ' || coalesce(t[5], '') || ' ' || coalesce(t[6], '') || ', ' || coalesce(t[7], '') || ', ' || (n_chars % 500 + 10000) AS business_address,
-         lang AS country, doc_id AS row_pos, lower(array_to_string(t[1:{WORDS}], ' ')) AS sig, coalesce(t[7], '') AS t7, n_chars FROM tok)
+  SELECT 'S' || (i % 3 + 1) || '-' || i AS entity_id,
+         CASE i % 8 WHEN 0 THEN w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 WHEN 1 THEN w1 || ' ' || w2 || ' & ' || w3 || ' Ltd.' WHEN 2 THEN w1 || ' ' || w2 || ', ' || w3 || ' Private Limited' WHEN 3 THEN w1 || '-' || w2 || ' ' || w3 || ' SARL'
+           WHEN 4 THEN w3 || ' ' || w1 || ' ' || w2 || ' Inc' WHEN 5 THEN w1 || ' ' || w2 || ' ' || w3 || ' + ' || w4 || ' LLC' WHEN 6 THEN 'राम ' || w1 || ' ' || w2 || ' ' || w3 || ' लिमिटेड'
+           ELSE CASE WHEN i % 64 = 7 THEN 'N/A' ELSE w1 || ' ' || w2 || ' ' || w3 || ' Co.' END END AS business_name,
+         CASE WHEN i % 16 = 5 THEN '' WHEN lang = 'en' THEN num || ' ' || w5 || ' ' || st || nr || ', ' || w6 || ', ' || zip || CASE WHEN i % 3 = 0 THEN '-1234' ELSE '' END
+           WHEN lang = 'fr' THEN 'N° ' || num || ' rue ' || w5 || ', ' || zip || ' ' || w6
+           WHEN lang = 'de' THEN num || '-' || (c % 7 + 1) || '/' || (c % 5 + 1) || ' ' || w5 || ' ' || st || nr || ', ' || w6 || ', ' || pin
+           ELSE w5 || ' ' || st || ' ' || num || CASE WHEN i % 3 = 0 THEN 'A' ELSE '' END || ', PO Box ' || (c % 9) || ', ' || w6 || ', ' || CASE WHEN i % 2 = 0 THEN pin ELSE zip END END AS business_address,
+         CASE lang {_COUNTRY} ELSE lang END AS country, i AS row_pos, CASE WHEN n > 0 THEN h END AS sig FROM near)
 """
 
 
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.normalize(records(spark, sf_dir))
+    return _kept(spark, sf_dir, "normalized", lambda: N.normalize(records(spark, sf_dir)))
 
 
-#: Names of letters alone: legal forms are single words here, and addresses have single-word abbreviations.
+def _sql_text(x: str) -> str:
+    """Lower case without accents; marks of scripts other than Latin stay."""
+    return f"lower(array_to_string(list_transform(string_split({x}, ' '), lambda q: CASE WHEN regexp_matches(q, '[\\x{{0900}}-\\x{{097F}}]') THEN q ELSE strip_accents(q) END), ' '))"
+
+
+def _sql_clean(x: str) -> str:
+    spelled = f"replace(replace(replace({_sql_text(x)}, '&', ' and '), '@', ' at '), '+', ' plus ')"
+    return rf"trim(regexp_replace(regexp_replace({spelled}, '[^\p{{L}}\p{{N}}\p{{M}}]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+# a cleaned text has single spaces; with two between words, and one at each end, a form stands between spaces of its own
+_FORMS = [(f" {p[2:-2]} " if p.startswith(r"\b") else p, label) for p, label in ((p.replace(r"\s+", " +"), label) for p, label in C.LEGAL_SUFFIXES)]
+_WIDE = "' ' || replace({0}, ' ', '  ') || ' '"
+
+
+def _sql_core(x: str) -> str:
+    for form, _ in _FORMS:
+        x = f"regexp_replace({x}, '{form}', '   ', 'g')"
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
+_CITY = r"list_filter(list_transform(string_split(business_address, ','), lambda x: trim(x)), lambda x: x <> '')"
+_PIN6, _ZIP5 = (f"regexp_extract(business_address, '{p}', 1)" for p in (C.PIN6, C.ZIP5))
+_POSTAL = " ".join(f"WHEN '{c}' THEN regexp_extract(business_address, '{p}', 1)" for c, (p,) in C.POSTAL.items())
+_LATIN = f"array_to_string(list_transform(range(1, length(name_norm) + 1), lambda j: {_cases(list(C.DEVANAGARI.items()), 'substring(name_norm, j, 1)')}), '')"
 NORM = rf"""{RECORDS},
 clean AS (
-  SELECT *, list_filter(string_split(lower(strip_accents(business_name)), ' '), lambda x: x <> '') AS nt,
-         list_filter(string_split(trim(regexp_replace(replace(lower(strip_accents(business_address)), ',', ' '), '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS adr FROM records),
-norm AS (
-  SELECT entity_id, business_name, business_address, country, row_pos, sig,
-         CASE WHEN len(list_filter(nt, lambda x: x NOT IN ({_list([f for f, _ in _FORMS])}))) = 0 THEN array_to_string(nt, ' ')
-              ELSE array_to_string(list_filter(nt, lambda x: x NOT IN ({_list([f for f, _ in _FORMS])})), ' ') END AS name_norm,
-         CASE {" ".join(f"WHEN list_contains(nt, '{f}') THEN '{label}'" for f, label in _FORMS)} ELSE '' END AS legal_suffix,
-         array_to_string(list_transform(adr, lambda x: {_cases([(a, b) for a, b in C.ADDRESS_WORDS if " " not in b and chr(92) not in a], "x")}), ' ') AS addr_norm,
-         CAST(n_chars % 500 + 10000 AS VARCHAR) AS pin_extracted, CASE WHEN length(t7) > 2 THEN lower(strip_accents(t7)) ELSE '' END AS city_extracted,
-         CAST(n_chars % 90 + 10 AS VARCHAR) AS street_number, 0 AS has_landmark FROM clean)
+  SELECT *, {_sql_clean("business_name")} AS nc, {_sql_clean("business_address")} AS ac, {_CITY} AS cp FROM records),
+wide AS (SELECT *, {_WIDE.format("nc")} AS nw, {_WIDE.format("ac")} AS aw FROM clean),
+forms AS (SELECT *, {_sql_core("nw")} AS core, trim(regexp_replace(regexp_replace(aw, ' po +box ', ' pobox ', 'g'), '\s+', ' ', 'g')) AS ab,
+  trim(regexp_replace(CASE WHEN len(cp) >= 3 THEN cp[len(cp) - 1] WHEN len(cp) = 2 THEN cp[2] ELSE '' END, '\d+', '', 'g')) AS cb FROM wide),
+norm0 AS (
+  SELECT entity_id, business_name, business_address, country, row_pos, sig, CASE WHEN core = '' THEN nc ELSE core END AS name_norm,
+         CASE {" ".join(f"WHEN regexp_matches(nw, '{f}') THEN '{label}'" for f, label in _FORMS)} ELSE '' END AS legal_suffix,
+         array_to_string(list_transform(string_split(ab, ' '), lambda x: {_cases([(a, b) for a, b in C.ADDRESS_WORDS if chr(92) not in a], "x")}), ' ') AS addr_norm,
+         CASE upper(trim(country)) {_POSTAL} ELSE CASE WHEN {_PIN6} <> '' THEN {_PIN6} ELSE {_ZIP5} END END AS pin_extracted,
+         CASE WHEN length(cb) > 2 THEN {_sql_clean("cb")} ELSE '' END AS city_extracted,
+         regexp_extract(business_address, '{C.STREET_NUMBER}', 1) AS street_number, CAST(regexp_matches(business_address, '{C.LANDMARK}') AS INTEGER) AS has_landmark FROM forms),
+norm AS MATERIALIZED (SELECT *, CASE WHEN regexp_matches(name_norm, '[\x{{0900}}-\x{{097F}}]') THEN {_LATIN} ELSE name_norm END AS latin FROM norm0)
 """
 
 
@@ -84,42 +172,73 @@ def sides(norm: DataFrame) -> tuple[DataFrame, DataFrame]:
     return norm.filter(F.col("entity_id").startswith("S1-")), norm.filter(~F.col("entity_id").startswith("S1-"))
 
 
-def truth(recs: DataFrame) -> DataFrame:
-    """(s1, cand) of equal first words, in all countries."""
-    s1, cands = sides(recs)
+def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s1, cand) of equal words of the whole text, in all countries; texts without words are nobody's copies."""
+    s1, cands = sides(records(spark, sf_dir))
     return s1.select(F.col("entity_id").alias("s1"), "sig").join(cands.select(F.col("entity_id").alias("cand"), "sig"), "sig").select("s1", "cand")
 
 
-TRUTH = """truth AS (SELECT a.entity_id AS s1, b.entity_id AS cand FROM records a JOIN records b ON a.sig = b.sig WHERE a.entity_id LIKE 'S1-%' AND b.entity_id NOT LIKE 'S1-%')"""
+TRUTH = """truth AS MATERIALIZED (SELECT a.entity_id AS s1, b.entity_id AS cand FROM records a JOIN records b ON a.sig = b.sig WHERE a.entity_id LIKE 'S1-%' AND b.entity_id NOT LIKE 'S1-%')"""
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s1, cand): the candidates of each S1 entity with most votes, ``TOP`` at most."""
+    return _kept(spark, sf_dir, "pairs", lambda: blocking.preselected(*sides(normalized(spark, sf_dir)), TOP, PAIRING))
+
+
+_STOPS = _list(C.GENERIC_STOPS)
+_TOK2 = "CASE WHEN len(sig2) = 0 THEN left(latin, 4) ELSE array_to_string(list_sort(sig2[1:2]), '_') END"
+_ACRONYM = "array_to_string(list_filter(list_transform(words, lambda x: left(x, 1)), lambda x: regexp_matches(x, '[\\p{L}\\p{N}]')), '')"
+#: Every channel's keys of a record as a list, in SQL.
+KEY_LISTS = {
+    "tok2": f"[{_TOK2}]",
+    "postal": "[CASE WHEN pin_extracted = '' THEN '' ELSE pin_extracted || '_' || left(coalesce(lt[1], ''), 3) END]",
+    "street": f"CASE WHEN street_number = '' THEN [] ELSE list_transform(list_filter(string_split(addr_norm, ' '), lambda x: x <> street_number AND length(x) > 2 AND x NOT IN ({_list(C.ADDRESS_STOPS)}))[1:3], lambda x: street_number || '_' || x) END",
+    "pin_street": "[CASE WHEN pin_extracted = '' OR street_number = '' THEN '' ELSE pin_extracted || '_' || street_number END]",
+    "street_city": "[CASE WHEN street_number = '' OR city_extracted = '' THEN '' ELSE street_number || '_' || city_extracted END]",
+    "sigtoken": "list_filter(words, lambda x: length(x) >= 4)",
+    "acronym": f"[CASE WHEN len(words) >= 2 AND length({_ACRONYM}) BETWEEN 2 AND 4 THEN {_ACRONYM} ELSE '' END]",
+    "short": "[CASE WHEN len(words) = 1 AND length(words[1]) BETWEEN 2 AND 4 THEN words[1] ELSE '' END]",
+    "prefix4": "list_transform(list_filter(words, lambda x: length(x) >= 4), lambda x: left(x, 4))",
+}
+TOKS = f"""{NORM},
+toks0 AS (SELECT *, list_filter(string_split(latin, ' '), lambda x: x <> '') AS lt FROM norm),
+toks AS MATERIALIZED (SELECT *, list_filter(lt, lambda x: x NOT IN ({_STOPS})) AS words, list_filter(lt, lambda x: length(x) > 1 AND x NOT IN ({_STOPS})) AS sig2 FROM toks0)
+"""
 
 
-def pairs(norm: DataFrame) -> DataFrame:
-    """(s1, cand) that share the first two significant words of their names."""
-    return blocking.votes(*sides(norm), PAIRING).select("s1", "cand")
+def shared_sql(channels: tuple[str, ...], caps: dict[str, int]) -> str:
+    """Relations ``keys`` (a record's bag of keys) and ``shared`` (s1, cand, channel, votes), over TOKS."""
+    rows = " UNION ALL ".join(f"SELECT entity_id, country, '{blocking.SPACES.get(c, c)}' AS space, '{c}' AS channel, {blocking.WEIGHTS[c]} AS weight, unnest({KEY_LISTS[c]}) AS key FROM toks" for c in channels)
+    cap = "CASE space " + " ".join(f"WHEN '{c}' THEN {n}" for c, n in caps.items()) + " END" if caps else "NULL"
+    return f"""
+keys AS MATERIALIZED (SELECT entity_id, country, space, channel, weight, key, count(*) AS n FROM ({rows}) WHERE key <> '' GROUP BY ALL),
+postings AS (SELECT country, space, key, sum(n) AS m FROM keys WHERE entity_id NOT LIKE 'S1-%' GROUP BY ALL),
+posted AS (SELECT k.entity_id, k.country, k.space, k.key, sum(k.n) AS n FROM keys k JOIN postings USING (country, space, key) WHERE k.entity_id NOT LIKE 'S1-%' AND coalesce(m <= {cap.replace('space', 'k.space')}, true) GROUP BY ALL),
+shared AS (SELECT a.entity_id AS s1, b.entity_id AS cand, a.channel, CAST(a.weight * a.n * b.n AS BIGINT) AS votes FROM keys a JOIN posted b USING (country, space, key) WHERE a.entity_id LIKE 'S1-%')"""
 
 
-_SIG = f"list_filter(string_split(name_norm, ' '), lambda x: length(x) > 1 AND x NOT IN ({_list(C.GENERIC_STOPS)}))"
-TOK2 = f"CASE WHEN len({_SIG}) = 0 THEN left(name_norm, 4) ELSE array_to_string(list_sort(({_SIG})[1:2]), '_') END"
-PAIRS = f"""{NORM},
-keyed AS (SELECT entity_id, country, {TOK2} AS k FROM norm),
-capped AS (SELECT country, k FROM keyed WHERE entity_id NOT LIKE 'S1-%' AND k <> '' GROUP BY country, k HAVING count(*) <= {KEY_CAP}),
-pairs AS (SELECT a.entity_id AS s1, b.entity_id AS cand FROM keyed a JOIN keyed b ON a.country = b.country AND a.k = b.k JOIN capped c ON c.country = a.country AND c.k = a.k
-          WHERE a.entity_id LIKE 'S1-%' AND b.entity_id NOT LIKE 'S1-%')
+PAIRS = f"""{TOKS}, {shared_sql(PAIRING.channels, {})},
+pairs AS MATERIALIZED (SELECT s1, cand FROM (SELECT s1, cand, sum(votes) AS v FROM shared GROUP BY s1, cand) QUALIFY row_number() OVER (PARTITION BY s1 ORDER BY v DESC, cand) <= {TOP})
 """
 
 
-def compared(norm: DataFrame) -> DataFrame:
+def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs with record structs a and b and the features that need no kernel."""
-    s1, cands = sides(norm)
-    side = lambda df, who, r: features.prepare(df).select(F.col("entity_id").alias(who), F.col("r").alias(r))
-    df = pairs(norm).join(side(s1, "s1", "a"), "s1").join(side(cands, "cand", "b"), "cand")
-    return df.withColumns(features.structural())
 
+    def make() -> DataFrame:
+        s1, cands = sides(normalized(spark, sf_dir))
+        side = lambda df, who, r: features.prepare(df).select(F.col("entity_id").alias(who), F.col("r").alias(r))
+        df = pairs(spark, sf_dir).join(side(s1, "s1", "a"), "s1").join(side(cands, "cand", "b"), "cand")
+        return df.withColumns(features.structural())
+
+    return _kept(spark, sf_dir, "compared", make)
 
-def scored(norm: DataFrame) -> DataFrame:
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """s1, cand, country and p, a stand-in for a model: six tenths name and four tenths address overlap."""
     p = F.round(0.6 * F.col("name_jaccard") + 0.4 * F.col("addr_jaccard"), 6)
-    return compared(norm).select("s1", "cand", F.col("a.country").alias("country"), p.alias("p"))
+    return compared(spark, sf_dir).select("s1", "cand", F.col("a.country").alias("country"), p.alias("p"))
 
 
 def _jac(x: str, y: str) -> str:
@@ -129,7 +248,7 @@ def _jac(x: str, y: str) -> str:
 _WORDS = lambda c: f"list_distinct(list_filter(string_split({c}, ' '), lambda x: x <> ''))"
 SCORED = f"""{PAIRS},
 words AS (SELECT *, {_WORDS("name_norm")} AS nw, {_WORDS("addr_norm")} AS aw FROM norm),
-scored AS (
+scored AS MATERIALIZED (
   SELECT s1, cand, a.country, {_jac("a.nw", "b.nw")} AS name_jaccard, {_jac("a.aw", "b.aw")} AS addr_jaccard,
          round(0.6 * {_jac("a.nw", "b.nw")} + 0.4 * {_jac("a.aw", "b.aw")}, 6) AS p
   FROM pairs JOIN words a ON a.entity_id = s1 JOIN words b ON b.entity_id = cand),
@@ -137,6 +256,81 @@ ranked AS (SELECT *, row_number() OVER w AS rank, max(p) OVER (PARTITION BY s1)
 """
 
 
+def lcs_sql(source: str) -> str:
+    """A recursive relation ``done`` (x, y, n): the common subsequence of columns x and y of ``source``, one row of the table for each letter."""
+    return f"""
+walk(x, y, i, a, b, r) AS (
+  SELECT x, y, 0, list_transform(range(1, length(x) + 1), lambda j: substring(x, j, 1)), list_transform(range(1, length(y) + 1), lambda j: substring(y, j, 1)), list_transform(range(0, length(y) + 1), lambda k: 0::BIGINT) FROM {source}
+  UNION ALL
+  SELECT x, y, i + 1, a, b, list_concat([0::BIGINT], list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN a[i + 1] = b[k] THEN r[k] + 1 ELSE r[k + 1] END))))
+  FROM walk WHERE i < len(a)),
+done AS MATERIALIZED (SELECT x, y, r[len(b) + 1] AS n FROM walk WHERE i = len(a))"""
+
+
+INDEL = "CASE WHEN length(x) + length(y) = 0 THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * n / (length(x) + length(y)) END"
+SORTED = "array_to_string(list_sort(list_filter(string_split({0}, ' '), lambda t: t <> '')), ' ')"
+
+
+def numbers_text_sql(x: str, zero: bool = True) -> str:
+    if zero:
+        x = rf"regexp_replace(regexp_replace({x}, '(\d)[oO]\b', '\10', 'g'), '\b[oO](\d)', '0\1', 'g')"
+    return rf"regexp_replace(regexp_replace({x}, '[#№°]', ' ', 'g'), '(?i)\b(?:no|n°|nº|num|number)\b\.?', ' ', 'g')"
+
+
+def numbers_sql(x: str, zero: bool = True) -> str:
+    """The distinct street numbers of an address as text without leading zeros."""
+    found = rf"regexp_extract_all(regexp_replace({numbers_text_sql(x, zero)}, '(\d+)[-/](\d+)', '\1 \2', 'g'), '\b(\d+[a-zA-Z]?)\b', 1)"
+    return rf"list_distinct(list_filter(list_transform({found}, lambda q: ltrim(regexp_replace(q, '\D', '', 'g'), '0')), lambda q: length(q) BETWEEN 1 AND 6))"
+
+
+_DOORS = rf"list_distinct(list_transform(regexp_extract_all({numbers_text_sql('business_address')}, '\b(\d+[-/]\d+(?:[-/]\d+)?)\b', 1), lambda q: array_to_string(list_transform(string_split(replace(q, '-', '/'), '/'), lambda z: CASE WHEN ltrim(z, '0') = '' THEN '0' ELSE ltrim(z, '0') END), '/')))"
+_PINS = r"regexp_extract_all(business_address, '\b([1-9]\d{5})\b', 1)"
+_LETTERS = r"length(regexp_replace(business_name, '\P{L}', '', 'g'))"
+#: What guards see of a record.
+GUARDED = f"""{RECORDS},
+guarded AS MATERIALIZED (SELECT *, {numbers_sql('business_address')} AS numbers, {_DOORS} AS doors, coalesce({_PINS}[len({_PINS})], '') AS pin,
+  {_LETTERS} = 0 OR length(regexp_replace(business_name, '[^A-Za-z]', '', 'g')) > 0.8 * {_LETTERS} AS latin_name,
+  lower(trim(business_name)) IN ({_list(C.PLACEHOLDERS)}) AS placeholder FROM records)
+"""
+
+
+def audit_clean_sql(x: str) -> str:
+    words = rf'''list_filter(regexp_split_to_array(regexp_replace(lower({x}), '[#.,/()\[\]:;''"-]', ' ', 'g'), '\s+'), lambda x: x <> '')'''
+    return f"array_to_string(list_transform({words}, lambda x: {_cases(list(C.AUDIT_TOKENS.items()), 'x')}), ' ')"
+
+
+_SPLIT = lambda c: f"list_filter(string_split({c}, ' '), lambda x: x <> '')"
+_AUDIT_DROP = _list(sorted({*C.AUDIT_STREET_TYPES, *C.AUDIT_TOKENS.values()}))
+_AUDIT_OWN = f"list_filter({_SPLIT('name')}, lambda x: length(x) > 1 AND x NOT IN ({_list(C.AUDIT_STOPWORDS)}))"
+#: The audit's view of a record.
+AUDIT = rf"""{RECORDS},
+cleaned AS (SELECT *, {audit_clean_sql('business_name')} AS name, {audit_clean_sql('business_address')} AS addr, lower(regexp_extract(business_address, '\b(\d+[a-zA-Z]?)\b', 1)) AS number FROM records),
+audited AS MATERIALIZED (SELECT *, array_to_string(CASE WHEN len({_AUDIT_OWN}) > 0 THEN {_AUDIT_OWN} ELSE {_SPLIT('name')} END, ' ') AS core,
+  array_to_string(list_sort(list_distinct(list_filter({_SPLIT('addr')}, lambda x: length(x) > 2 AND NOT regexp_matches(x, '^\d+[a-z]?$') AND x NOT IN ({_AUDIT_DROP})))), ' ') AS street_name FROM cleaned)
+"""
+STREET_NAME = f"""array_to_string(list_sort(list_distinct(list_filter(string_split(addr_norm, ' '),
+lambda x: length(x) > 2 AND NOT regexp_matches(x, '^[0-9]*[a-z]?$') AND x NOT IN ({_list(sorted({*C.STREET_TYPES, *C.CITIES}))}) AND NOT list_contains(string_split(city_extracted, ' '), x)))), ' ')"""
+
+
+def simmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored pairs with token-sort similarities of names and addresses from 0 to 100, and both names."""
+    df = compared(spark, sf_dir)
+    p = F.round(0.6 * F.col("name_jaccard") + 0.4 * F.col("addr_jaccard"), 6)
+    like = lambda f: S.similarities(F.col(f"a.{f}"), F.col(f"b.{f}"), "token_sort")["token_sort"]
+    return df.select("s1", "cand", F.col("a.country").alias("country"), p.alias("p"), like("name").alias("name_sim"), like("addr").alias("addr_sim"), F.col("a.name").alias("s1_name"), F.col("b.name").alias("cand_name"))
+
+
+#: To be used under WITH RECURSIVE: ``simmed`` as above, with rank, p1 and the similarity of a name to the best candidate's.
+SIMMED = f"""{SCORED},
+texts AS (SELECT r.s1, r.cand, r.country, r.p, r.rank, r.p1, {SORTED.format('a.name_norm')} AS an, {SORTED.format('b.name_norm')} AS bn, {SORTED.format('a.addr_norm')} AS aa, {SORTED.format('b.addr_norm')} AS ba,
+  a.name_norm AS s1_name, b.name_norm AS cand_name FROM ranked r JOIN norm a ON a.entity_id = s1 JOIN norm b ON b.entity_id = cand),
+topped AS MATERIALIZED (SELECT *, first_value(bn) OVER (PARTITION BY s1 ORDER BY rank) AS tn FROM texts),
+compare AS (SELECT an AS x, bn AS y FROM topped UNION SELECT aa, ba FROM topped UNION SELECT tn, bn FROM topped), {lcs_sql('compare')},
+likeness AS MATERIALIZED (SELECT x, y, {INDEL} AS sim FROM done),
+simmed AS MATERIALIZED (SELECT t.*, l1.sim AS name_sim, l2.sim AS addr_sim, l3.sim AS top_sim FROM topped t JOIN likeness l1 ON l1.x = an AND l1.y = bn JOIN likeness l2 ON l2.x = aa AND l2.y = ba JOIN likeness l3 ON l3.x = tn AND l3.y = bn)
+"""
+
+
 def entities(norm: DataFrame) -> DataFrame:
     return sides(norm)[0].select(F.col("entity_id").alias("s1"), "country", "row_pos")
 

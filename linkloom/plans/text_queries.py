@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import constants as C
 from linkloom.functions import normalize as N
 from linkloom.functions import similarity as S
-from linkloom.operators import blocking, guards, sampling, validate
+from linkloom.operators import audit, blocking, filters, guards, sampling, validate
 from linkloom.plans import relations as R
 from linkloom.sources import tables
 
@@ -59,72 +59,69 @@ def legal_suffix_hist(spark, d) -> DataFrame:
     return R.normalized(spark, d).groupBy("legal_suffix").agg(F.count(F.lit(1)).alias("n"))
 
 
-_PLACES = [("12 Main St near City Mall", "US", 1), ("Plot 7, next  to Temple, Delhi 110001", "India", 1), ("8 rue Neuve, 75001 Paris", "France", 0), ("", "", 0), ("Linear Park 9-11, 94107-1234", "US", 0), ("4 Old Rd, behind bank, 560001, 12345", "Atlantis", 1)]
-
-
-def _values(rows: list[tuple], columns: str) -> str:
-    lit = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
-    return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") AS t({columns})"
-
-
-def _fixture(spark, rows: list[tuple], columns: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM {_values(rows, columns)}")
+@query(_norm_columns("has_landmark"))
+def landmark(spark, d) -> DataFrame:
+    return R.normalized(spark, d).select("entity_id", "has_landmark")
 
 
-@query(f"SELECT address, expected AS has_landmark FROM {_values([(a, e) for a, _, e in _PLACES], 'address, expected')}")
-def landmark(spark, d) -> DataFrame:
-    return _fixture(spark, [(a, e) for a, _, e in _PLACES], "address, expected").select("address", N.has_landmark(F.col("address")).alias("has_landmark"))
+@query(_norm_columns("latin"))
+def transliterate(spark, d) -> DataFrame:
+    return R.normalized(spark, d).select("entity_id", N.transliterate(F.col("name_norm")).alias("latin"))
 
 
-_SPELLED = [("राम", "raam"), ("शर्मा", "sharmaa"), ("abc", "abc"), ("फल", "phl"), ("", "")]
+def _key_sql(channel: str) -> str:
+    return f"WITH {R.TOKS} SELECT entity_id, key, count(*) AS n FROM (SELECT entity_id, unnest({R.KEY_LISTS[channel]}) AS key FROM toks) WHERE key <> '' GROUP BY entity_id, key"
 
 
-@query("SELECT name, expected AS latin FROM " + _values([("राम", "ram"), ("शर्मा", "shrma"), ("abc", "abc"), ("फल", "phl"), ("", "")], "name, expected"))
-def transliterate(spark, d) -> DataFrame:
-    return _fixture(spark, [(a,) for a, _ in _SPELLED], "name").select("name", N.transliterate(F.col("name")).alias("latin"))
+def _keys(spark, d, channel: str) -> DataFrame:
+    return blocking.keys(R.normalized(spark, d), blocking.BlockingConfig(channels=(channel,))).select("entity_id", "key", "n")
 
 
-@query(f"WITH {R.NORM} SELECT entity_id, {R.TOK2} AS key FROM norm")
+@query(_key_sql("tok2"))
 def key_tok2(spark, d) -> DataFrame:
-    return R.normalized(spark, d).select("entity_id", blocking.tok2_key(F.col("name_norm")).alias("key"))
+    return _keys(spark, d, "tok2")
 
 
-@query(f"WITH {R.NORM} SELECT entity_id, pin_extracted || '_' || left(split_part(name_norm, ' ', 1), 3) AS key FROM norm")
+@query(_key_sql("postal"))
 def key_postal(spark, d) -> DataFrame:
-    return R.normalized(spark, d).select("entity_id", blocking.postal_key(F.col("name_norm"), F.col("pin_extracted")).alias("key"))
+    return _keys(spark, d, "postal")
 
 
-_STREET = f"list_transform((list_filter(string_split(addr_norm, ' '), lambda x: x <> street_number AND length(x) > 2 AND x NOT IN ({R._list(C.ADDRESS_STOPS)})))[1:3], lambda x: street_number || '_' || x)"
+@query(_key_sql("street"))
+def key_addr(spark, d) -> DataFrame:
+    return _keys(spark, d, "street")
 
 
-@query(f"WITH {R.NORM} SELECT entity_id, unnest({_STREET}) AS key FROM norm")
-def key_addr(spark, d) -> DataFrame:
-    return R.normalized(spark, d).select("entity_id", F.explode(blocking.street_keys(F.col("addr_norm"), F.col("street_number"))).alias("key"))
+@query(_key_sql("pin_street"))
+def key_pin_street(spark, d) -> DataFrame:
+    return _keys(spark, d, "pin_street")
 
 
-_WORDS = f"list_filter(string_split(name_norm, ' '), lambda x: x <> '' AND x NOT IN ({R._list(C.GENERIC_STOPS)}))"
+@query(_key_sql("street_city"))
+def key_street_city(spark, d) -> DataFrame:
+    return _keys(spark, d, "street_city")
 
 
-@query(f"WITH {R.NORM} SELECT entity_id, key, count(*) AS n FROM (SELECT entity_id, unnest(list_filter({_WORDS}, lambda x: length(x) >= 4)) AS key FROM norm) GROUP BY entity_id, key")
+@query(_key_sql("sigtoken"))
 def key_sigtoken(spark, d) -> DataFrame:
-    k = blocking.keys(R.normalized(spark, d), blocking.BlockingConfig(channels=("sigtoken",)))
-    return k.select("entity_id", "key", "n")
+    return _keys(spark, d, "sigtoken")
 
 
-_ACR = f"array_to_string(list_transform({_WORDS}, lambda x: left(x, 1)), '')"
+@query(_key_sql("acronym"))
+def key_acronym(spark, d) -> DataFrame:
+    return _keys(spark, d, "acronym")
 
 
-@query(f"WITH {R.NORM} SELECT entity_id, {_ACR} AS key FROM norm WHERE len({_WORDS}) >= 2 AND length({_ACR}) BETWEEN 2 AND 4")
-def key_acronym(spark, d) -> DataFrame:
-    return blocking.keys(R.normalized(spark, d), blocking.BlockingConfig(channels=("acronym",))).select("entity_id", "key")
+@query(_key_sql("short"))
+def key_short(spark, d) -> DataFrame:
+    return _keys(spark, d, "short")
 
 
-@query(f"""WITH {R.NORM}, k AS (SELECT country, left(w, 4) AS key FROM (SELECT country, unnest(list_filter({_WORDS}, lambda x: length(x) >= 4)) AS w FROM norm WHERE entity_id NOT LIKE 'S1-%'))
-SELECT country, key, count(*) AS postings FROM k GROUP BY country, key HAVING count(*) <= 20""")
+@query(f"""WITH {R.TOKS}, {R.shared_sql(("prefix4",), {"prefix4": 20})}
+SELECT country, key, CAST(sum(n) AS BIGINT) AS postings FROM posted GROUP BY country, key""")
 def key_frequency_caps(spark, d) -> DataFrame:
-    cands = R.sides(R.normalized(spark, d))[1]
-    k = blocking.key_counts(blocking.keys(cands, blocking.BlockingConfig(channels=("prefix4",))))
-    return k.filter("postings <= 20").select("country", "key", "postings")
+    config = blocking.BlockingConfig(channels=("prefix4",), caps={"prefix4": 20})
+    return blocking.key_counts(blocking.capped(blocking.keys(R.sides(R.normalized(spark, d))[1], config), config)).select("country", "key", "postings")
 
 
 @query()
@@ -138,71 +135,53 @@ def core_name(spark, d) -> DataFrame:
     return R.normalized(spark, d).select("entity_id", F.array_join(N.core_tokens(F.col("name_norm")), " ").alias("core"))
 
 
-_DROP = R._list(sorted({*C.STREET_TYPES, *C.CITIES}))
-
-
-@query(f"""WITH {R.NORM} SELECT entity_id, array_to_string(list_sort(list_distinct(list_filter(string_split(addr_norm, ' '),
-lambda x: length(x) > 2 AND NOT regexp_matches(x, '^[0-9]*[a-z]?$') AND x NOT IN ({_DROP}) AND NOT list_contains(string_split(city_extracted, ' '), x)))), ' ') AS street FROM norm""")
+@query(f"WITH {R.NORM} SELECT entity_id, {R.STREET_NAME} AS street FROM norm")
 def street_tokens(spark, d) -> DataFrame:
     return R.normalized(spark, d).select("entity_id", F.array_join(F.array_sort(N.street_tokens(F.col("addr_norm"), F.col("city_extracted"))), " ").alias("street"))
 
 
-_AUDIT = list(C.AUDIT_TOKENS.items())
-
-
-@query(f"""WITH {R.RECORDS} SELECT entity_id, array_to_string(list_transform(list_filter(regexp_split_to_array(regexp_replace(lower(business_address), '[#.,/()\\[\\]:;''"-]', ' ', 'g'), '\\s+'), lambda x: x <> ''),
-lambda x: {R._cases(_AUDIT, "x")}), ' ') AS clean FROM records""")
+@query(f"WITH {R.RECORDS} SELECT entity_id, {R.audit_clean_sql('business_address')} AS clean FROM records")
 def audit_clean(spark, d) -> DataFrame:
     return R.records(spark, d).select("entity_id", N.audit_clean(F.col("business_address")).alias("clean"))
 
 
-#: (first address, second address, whether their street numbers reject the pair)
-STREET_PAIRS = [
-    ("Memphis, 3365 Winchester Place, TN", "003365 WINCHESTER PL, TN, MEMPHIS", 0),
-    ("26 Rue Albert Sauvage, Dunkerque", "N° 26 RUE ALBERT SAUVAGE, DUNKERQUE", 0),
-    ("982 Electric Avenue, Bigfork, MT", "BIGFORK, 982-A ELECTRIC AVE, MT", 0),
-    ("8 Rue des Pommiers, Pornic", "R. DES POMMIERS, PORNIC", 0),
-    ("1500 7th Street, Unit APT 4O, Sacramento, CA", "1500 7th Street, APT 40, Sacramento, CA", 0),
-    ("OH, Dayton, 1828 Fauver Avenue", "1831 Fauver Ave, Dayton, Ohio", 1),
-    ("Memphis, 3365 Winchester Place, TN", "3378-3380 WINCHESTER PL, MEMPHIS, TN", 1),
-    ("253 Rue de Gand, Tourcoing", "# 56 R. DE BAPAUME, TOURCOING", 1),
-]
-
-
-@query("SELECT a, b, reject FROM " + _values(STREET_PAIRS, "a, b, reject"))
-def guard_street(spark, d) -> DataFrame:
-    df = _fixture(spark, STREET_PAIRS, "a, b, x")
-    return df.select("a", "b", guards.disjoint(N.street_numbers(F.col("a")), N.street_numbers(F.col("b"))).cast("int").alias("reject"))
-
-
-DOOR_PAIRS = [("12-3/4 MG Road", "12/3/4 M.G. Rd", 0), ("012-03 Anna Salai", "12-3 Anna Salai", 0), ("12-3 Anna Salai", "12-4 Anna Salai", 1), ("no number", "1-2 x", 0), ("Door No. 5/11, 7-8", "7/8 y", 0)]
-
-
-@query("SELECT a, b, reject FROM " + _values(DOOR_PAIRS, "a, b, reject"))
-def guard_compound_door(spark, d) -> DataFrame:
-    df = _fixture(spark, DOOR_PAIRS, "a, b, x")
-    return df.select("a", "b", guards.disjoint(N.compound_doors(F.col("a")), N.compound_doors(F.col("b"))).cast("int").alias("reject"))
+@query(f"WITH {R.AUDIT} SELECT entity_id, name, core, number, street_name AS street FROM audited")
+def audit_record(spark, d) -> DataFrame:
+    x = audit.prepare(R.records(spark, d))
+    return x.select("entity_id", "x.name", "x.core", "x.number", F.col("x.street_name").alias("street"))
 
 
-PIN_ROWS = [("560001 MG Road 110001", "110001"), ("Plot 012345, 400001", "400001"), ("none here 1234567", ""), ("", "")]
+@query(f"WITH {R.GUARDED} SELECT entity_id, array_to_string(list_sort(list_transform(numbers, lambda x: CAST(x AS VARCHAR))), ',') AS numbers, array_to_string(list_sort(doors), ',') AS doors, pin, latin_name, placeholder FROM guarded")
+def guard_record(spark, d) -> DataFrame:
+    """What guards see of a record: street numbers, compound doors, last code, script and placeholder."""
+    written = lambda c: F.array_join(F.array_sort(F.transform(c, lambda x: x.cast("string"))), ",")
+    g = guards.prepare(R.records(spark, d))
+    return g.select("entity_id", written(F.col("g.numbers")).alias("numbers"), written(F.col("g.doors")).alias("doors"), "g.pin", F.col("g.latin").alias("latin_name"), "g.placeholder")
 
 
-@query("SELECT address, pin FROM " + _values(PIN_ROWS, "address, pin"))
-def guard_pin(spark, d) -> DataFrame:
-    return _fixture(spark, PIN_ROWS, "address, x").select("address", N.last_pincode(F.col("address")).alias("pin"))
+@query(f"WITH {R.RECORDS} SELECT entity_id, lower(regexp_extract(business_address, '\\b([0-9]+[a-zA-Z]?)\\b', 1)) AS first, array_to_string(list_sort({R.numbers_sql('business_address', False)}), ',') AS digits FROM records")
+def address_numbers(spark, d) -> DataFrame:
+    """The first number of an address, and its numbers without the reading of letter O as zero."""
+    a = F.col("business_address")
+    return R.records(spark, d).select("entity_id", filters.first_number(a).alias("first"), F.array_join(F.array_sort(filters.street_digits(a)), ",").alias("digits"))
 
 
-PLACEHOLDER_ROWS = [(" N/A ", 1), ("Unknown", 1), ("", 1), ("-", 1), ("Acme", 0), ("no name", 1), ("nano", 0)]
+@query(rf"WITH {R.RECORDS} SELECT entity_id, lower(regexp_extract(business_address || ', Suite ' || (row_pos % 40) || 'B', '(?i)\b(?:ste|suite|unit|apt|apartment|fl|floor|bldg|building|bat|bâtiment|etg|étage|porte|bureau|flat|shop|plot)\s*#?\s*([a-z0-9-]+)\b', 1)) AS suite FROM records")
+def suite_number(spark, d) -> DataFrame:
+    """The part of a building, over addresses that have one."""
+    address = F.concat("business_address", F.lit(", Suite "), (F.col("row_pos") % 40).cast("string"), F.lit("B"))
+    return R.records(spark, d).select("entity_id", N.suite(address).alias("suite"))
 
 
-@query("SELECT name, placeholder FROM " + _values(PLACEHOLDER_ROWS, "name, placeholder"))
-def guard_placeholder(spark, d) -> DataFrame:
-    return _fixture(spark, PLACEHOLDER_ROWS, "name, x").select("name", N.is_placeholder(F.col("name")).cast("int").alias("placeholder"))
+#: Ids that break each rule, beside the records' own.
+_ODD_IDS = "(' S2-1'), ('S2-1 '), ('S2#1'), (''), (NULL), ('S2-1'), ('S2-1')"
 
 
-@query(f"WITH {R.RECORDS} SELECT count(*) AS ids, count(DISTINCT entity_id) AS distinct_ids, 0 AS spaced, 0 AS odd, 0 AS empty FROM records")
+@query(f"""WITH {R.RECORDS}, ids AS (SELECT entity_id AS id FROM records UNION ALL SELECT * FROM (VALUES {_ODD_IDS}) AS t(id))
+SELECT count(*) AS ids, count(DISTINCT id) AS distinct_ids, count(*) FILTER (WHERE id <> trim(id)) AS spaced, count(*) FILTER (WHERE NOT regexp_matches(id, '^[A-Za-z0-9_-]*$')) AS odd, count(*) FILTER (WHERE coalesce(id, '') = '') AS empty FROM ids""")
 def id_integrity(spark, d) -> DataFrame:
-    return validate.id_integrity(R.records(spark, d), "entity_id")
+    ids = R.records(spark, d).select(F.col("entity_id").alias("id")).unionAll(spark.sql(f"SELECT * FROM VALUES {_ODD_IDS} AS t(id)"))
+    return validate.id_integrity(ids, "id")
 
 
 _U = "CAST(('0x' || substr(md5(entity_id || ':42'), 1, 8)) AS BIGINT)"

@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -23,7 +24,7 @@ def test_rules(scored):
     assert taken(decide.dynamic_margin(scored)) == [("a", "x1"), ("a", "x2"), ("a", "x3"), ("c", "x9"), ("d", "x5"), ("d", "x6")]
     assert taken(decide.cliff(scored)) == [("a", "x1"), ("a", "x2"), ("a", "x3"), ("c", "x9"), ("d", "x5"), ("d", "x6"), ("d", "x7"), ("d", "x8")]
     assert taken(decide.fixed_tau(scored, 0.9, 1)) == [("a", "x1"), ("d", "x5")]
-    assert ("b", "x1") in taken(decide.softmax_mass(scored))
+    assert taken(decide.softmax_mass(scored)) == [("a", "x1"), ("a", "x2"), ("c", "x9"), ("d", "x5"), ("d", "x6")]
     for rule in decide.RULES.values():
         assert set(taken(rule(scored))) <= {(a, b) for a, b, _ in LADDERS}
 
@@ -34,6 +35,38 @@ def test_grand_synthesis_skips_guarded_rows(spark):
     assert taken(decide.grand_synthesis(df)) == [("a", "x1"), ("a", "x3")]
 
 
+def ladder(spark, ps, **more):
+    rows = [("a", f"x{i:02}", p, *(v[i] for v in more.values())) for i, p in enumerate(ps)]
+    kinds = ", ".join(f"{k} {'string' if isinstance(v[0], str) else 'double'}" for k, v in more.items())
+    return spark.createDataFrame(rows, "s1 string, cand string, p double" + (f", {kinds}" if kinds else ""))
+
+
+def test_rules_keep_their_caps(spark):
+    many = [0.99 - i / 1000 for i in range(14)]
+    assert decide.gap_cut(ladder(spark, [*many, 0.80])).count() == 10
+    assert decide.gap_cut(ladder(spark, many)).count() == 4
+    assert decide.rank_adaptive(ladder(spark, many)).count() == 10
+    names = ["acme foods"] * 14
+    assert decide.disambiguate(ladder(spark, many, cand_name=names)).count() == 10
+    assert decide.feature_augmented(ladder(spark, many, name_sim=[50.0] * 14)).count() == 6
+    assert decide.softmax_mass(ladder(spark, [0.2])).isEmpty() and decide.softmax_mass(ladder(spark, [0.9, 0.2])).count() == 1
+
+
+def test_the_best_candidate_needs_no_consensus(spark):
+    one = ladder(spark, [0.95, 0.93, 0.92], s1_name=["zzz"] * 3, cand_name=["acme foods", "acme foods ltd", "qqq"])
+    assert taken(decide.triplet_consensus(one)) == [("a", "x00")]
+    like = ladder(spark, [0.95, 0.93, 0.92], s1_name=["acme food"] * 3, cand_name=["acme foods", "acme foods ltd", "qqq"])
+    assert taken(decide.triplet_consensus(like)) == [("a", "x00"), ("a", "x01")]
+
+
+def test_grand_synthesis_starts_its_cliff_at_the_best_and_gives_a_candidate_once(spark):
+    schema = "s1 string, cand string, p double, name_sim double, addr_sim double"
+    guarded = [("a", "x1", 0.90, 10.0, 90.0), ("a", "x2", 0.825, 90.0, 90.0)]
+    assert decide.grand_synthesis(spark.createDataFrame(guarded, schema)).isEmpty()
+    shared = [("a", "x", 0.90, 90.0, 90.0), ("b", "x", 0.95, 90.0, 90.0), ("a", "y", 0.88, 90.0, 90.0)]
+    assert taken(decide.grand_synthesis(spark.createDataFrame(shared, schema))) == [("a", "y"), ("b", "x")]
+
+
 edges = st.lists(st.tuples(st.sampled_from("abcd"), st.sampled_from(["u", "v", "w", "x", "y"]), st.integers(0, 5)), max_size=14, unique_by=lambda e: e[:2])
 
 
@@ -134,6 +167,43 @@ def test_models(spark):
     assert ml.importances(model, ["x1", "x2"])[0][0] == "x1"
 
 
+@pytest.mark.parametrize("family", sorted(ml.FAMILIES))
+def test_every_family_is_fitted_and_saved(spark, tmp_path, family):
+    rows = [(f"s{i}", f"c{i}", float(i % 7), float(i % 3), int(i % 7 > 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "s1 string, cand string, x1 double, x2 double, label int")
+    model = ml.fit(df, ["x1", "x2"], family)
+    ml.save(model, str(tmp_path / "m"))
+    p = [ml.probabilities(m, df).orderBy("s1").select("p").collect() for m in (model, ml.load(str(tmp_path / "m")))]
+    assert p[0] == p[1] and all(0 <= r.p <= 1 for r in p[0])
+
+
+def test_importance_finds_the_feature_that_counts(spark):
+    rows = [(f"s{i}", f"c{i}", float(i % 7), float(i % 3), int(i % 7 > 3)) for i in range(200)]
+    df = spark.createDataFrame(rows, "s1 string, cand string, x1 double, x2 double, label int")
+    model = ml.fit(df, ["x1", "x2"])
+    assert ml.permutation_importance(model, df, ["x1", "x2"], 1)[0][0] == "x1"
+    assert ml.top_features(model, ["x1", "x2"], 1, 0.999)[0] == ["x1"]
+    wide = df.withColumns({"w": F.lit(1.0)})
+    assert ml.stacked(wide.drop("w"), ["x1", "x2"], ["logistic", "bayes"], 2).count() == 200
+
+
+def test_exact_samples(spark):
+    df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 10 > 3).cast("string").alias("g"))
+    split = sampling.stratified_split(df, F.col("g"), "k")
+    assert {(r.g, r["count"]) for r in split.filter("held").groupBy("g").count().collect()} == {("true", 120), ("false", 80)}
+    least = {r.k for r in sampling.least_draws(df, F.col("g"), "k", F.lit(7)).collect()}
+    ranked = df.withColumn("u", sampling.draw(F.col("k"), 42)).orderBy("u", "k").collect()
+    want = {r.k for g in ("true", "false") for r in [x for x in ranked if x.g == g][:7]}
+    assert least == want
+
+
+def test_spearman_of_many_ranges(spark):
+    rows = [(i * 37 % 101, (i * 13 % 17) // 2) for i in range(400)]
+    got = evaluate.spearman(spark.createDataFrame(rows, "a int, b int"), "a", "b").first().rho
+    want = pd.DataFrame(rows).rank().corr().iloc[0, 1]
+    assert abs(got - want) < 1e-6
+
+
 def test_training_pairs(spark):
     c = spark.createDataFrame([("a", "x"), ("a", "y")], "s1 string, cand string")
     t = spark.createDataFrame([("a", "x"), ("a", "z")], "s1 string, cand string")
@@ -156,4 +226,5 @@ def test_reranked_candidates_of_a_large_group(spark, tmp_path):
     docs = [(i, "alpha beta gamma delta epsilon zeta eta theta", "en", 45) for i in range(360)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     got = pair_queries.candidates_reranked(spark, str(tmp_path)).groupBy("s1").count().collect()
-    assert len(got) == 120 and {r["count"] for r in got} == {12}
+    unnamed = {f"S1-{i}" for i in range(7, 360, 64)}  # the placeholder of a name meets other placeholders alone
+    assert len(got) == 120 and {r["count"] for r in got if r["s1"] not in unnamed} == {12}
