@@ -106,38 +106,92 @@ def test_language_model_with_rare_tokens(spark, monkeypatch):
     assert all(whole[i][0] == few[i][0] and abs(whole[i][1] - few[i][1]) < 1e-9 for i in whole)
 
 
-def test_log_bilinear_learns_and_is_normalised():
-    u = np.full(6, 1 / 6)
-    m = log_bilinear.LogBilinear(6, u)
+def cyclic(n=4000, words=6):
     rng = np.random.default_rng(0)
-    w = np.cumsum(rng.integers(1, 3, 4000)) % 6  # the next class is one or two further
-    a, b = np.roll(w, 1), np.roll(w, 2)
-    for _ in range(200):
-        m.step(a[2:], b[2:], w[2:])
-    z = m.log_normaliser()
-    every = np.arange(6)
-    assert abs(np.exp(m.log_prob(np.full(6, 3), np.full(6, 1), every, z)).sum() - 1) < 1e-5
-    assert m.log_prob(a[2:], b[2:], w[2:], z).mean() > np.log(1 / 6) + 0.5
-
-
-def test_language_model_learns_from_every_position():
-    texts = pa.array(["a b c d e f g"] * 5 + [None, "x"])
-    start = log_bilinear.LogBilinear(2, np.array([0.5, 0.5]))
-    learnt = list(log_bilinear._train(start, log_bilinear.Classes(np.array([log_bilinear.END])))([pa.RecordBatch.from_arrays([texts], ["text"])]))
-    assert [set(x["n"].to_pylist()) for x in learnt] == [{5 * 8 + 1 + 2}]
+    w = np.cumsum(rng.integers(1, 3, n)) % words  # the next word is one or two further
+    return [" ".join(f"w{x}" for x in part) for part in np.array_split(w, 40)]
 
 
-def test_log_bilinear_step_sums_over_positions():
-    rng = np.random.default_rng(1)
-    u = np.array([0.4, 0.3, 0.2, 0.1])
-    m = log_bilinear.LogBilinear(4, u)
-    m.q = rng.normal(0, 0.5, m.q.shape).astype(np.float32)
-    a, b, w = (rng.integers(0, k, 200) for k in (5, 5, 4))
-    s = (m.c[0] * m.r[a] + m.c[1] * m.r[b]) @ m.q.T - np.log(log_bilinear.NOISE)  # the bias is the log of the noise
-    g = -log_bilinear.NOISE * u / (1 + np.exp(-s))
-    g[np.arange(200), w] += 1 / (1 + np.exp(s[np.arange(200), w]))
-    m.step(a, b, w)
-    assert np.allclose(m.squares["bias"], (g.mean(0)) ** 2 + 1e-10, rtol=1e-3)
+def test_log_bilinear_learns_and_is_normalised():
+    rng = np.random.default_rng(0)
+    w = np.cumsum(rng.integers(1, 3, 4000)) % 6
+    of_word, count = np.array([0, 1, 2, 2, 3, 3]), np.bincount(w, minlength=6)
+    m = log_bilinear.LogBilinear(of_word, count.astype(float), 1.0)
+    cls = of_word[w]
+    a, b = cls[1:-1], cls[:-2]
+    triples, pairs = np.zeros((m.n + 1, m.n + 1, m.n), np.float32), np.zeros((m.n + 1, 6), np.float32)
+    np.add.at(triples, (b, a, cls[2:]), 1)
+    np.add.at(pairs, (a, w[2:]), 1)
+    m.fit_classes(triples, 60)
+    m.fit_words(lambda i, j: pairs[:, i:j], 60)
+    got = m.log_prob(a, b, cls[2:], w[2:])
+    assert got.mean() > np.log(count[w[2:]] / 4000).mean() + 0.5
+    every = np.append(np.arange(6), 99)  # the last class has no tokens with vectors
+    total = np.exp(m.log_prob(np.full(7, 3), np.full(7, 1), np.append(of_word, m.n - 1), every)).sum()
+    assert abs(total - 1) < 1e-5
+
+
+def test_language_model_scores_do_not_depend_on_partitions(spark):
+    rows = [(i, t) for i, t in enumerate(cyclic() + ["", None, "rare words here"])]
+    got = [{r.doc_id: (r.score, r.base_score) for r in log_bilinear.score(frame(spark, rows).repartition(n)).collect()} for n in (1, 8, 64)]
+    for other in got[1:]:
+        assert all(abs(x - y) < 1e-6 for i in got[0] for x, y in zip(got[0][i], other[i]))
+    held = [i for i, _ in rows[:40] if zlib.crc32(str(i).encode()) % 7 == 2]
+    assert sum(got[0][i][0] for i in held) > 0.7 * sum(got[0][i][1] for i in held)
+
+
+def test_language_model_against_a_plain_scorer(spark, monkeypatch):
+    texts = cyclic(800, 9) + ["x y z z", "", "once"]
+    df = frame(spark, list(enumerate(texts)))
+    kept = []
+    train = log_bilinear.train
+    monkeypatch.setattr(log_bilinear, "WORDS", 8)
+    monkeypatch.setattr(log_bilinear, "train", lambda *args: kept.append((args, train(*args))) or kept[-1][1])
+    got = {r.doc_id: r.score for r in log_bilinear.score(df).collect()}
+    (_, lexicon, _, total, distinct), m = kept[0]
+    counts = Counter(x for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2 for x in [*t.split(), None])
+    name = {x: int(log_bilinear.tokens(next(text.words_of(pa.array([x or ""]), text.NOT_SPACE))[2])[0][0 if x else -1]) for x in counts}
+    ids = {x: int(lexicon.of(np.array([h], np.uint64))[0]) for x, h in name.items()}
+    rest = total - sum(c for x, c in counts.items() if ids[x] < lexicon.n) + distinct - lexicon.n + 1
+    soft = lambda s: s - np.log(np.exp(s - s.max()).sum()) - s.max()
+    for i, t in enumerate(texts):
+        seq, a, b, want = [*t.split(), None], m.n, m.n, 0.0
+        for x in seq:
+            w = ids.get(x, lexicon.n)
+            c = int(m.of_word[w]) if w < lexicon.n else m.n - 1
+            want += soft((m.k[0] * m.r[a] + m.k[1] * m.r[b]) @ m.q.T + m.bias)[c] / math.log(10)
+            if w < lexicon.n:
+                own = np.flatnonzero(m.of_word == c)
+                want += soft(m.v[own] @ m.t[a] + m.share[own])[list(own).index(w)] / math.log(10)
+            else:
+                want += math.log10((counts[x] + 1) / rest)
+            a, b = c, a
+        assert abs(got[i] - want) < 1e-3 * max(1, abs(want))
+
+
+def test_language_model_counts_every_position(spark):
+    seen = []
+    tallied = log_bilinear.tallied
+
+    def spy(learn, keys):
+        out = tallied(learn, keys)
+        seen.append(out.agg(F.sum("c")).first()[0])
+        return out
+
+    rows = [(i, t) for i, t in enumerate(cyclic(500))]
+    log_bilinear.tallied = spy
+    try:
+        total = log_bilinear.score(frame(spark, rows)).first().train_tokens
+    finally:
+        log_bilinear.tallied = tallied
+    assert seen == [total, 2 * total]  # every token is known, so each position gives a triple and a pair
+
+
+def test_language_model_edges(spark):
+    rows = [(1, "a b"), (1, "a b"), (None, None), (2, "é 🙂 " * 30_000), (3, "")]
+    df = frame(spark, rows).withColumn("score", F.lit("x")).withColumn("token", F.lit(1))
+    got = log_bilinear.score(df).collect()
+    assert len(got) == 5 and sorted(r.n_tokens for r in got) == [1, 1, 3, 3, 60_001] and all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
 @settings(max_examples=60, deadline=None)
