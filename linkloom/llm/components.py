@@ -7,34 +7,43 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.text import with_checkpoints
 
-#: Rounds that are far more than any graph needs (each halves the distances).
-MOST_ROUNDS = 60
+#: Parts that the links of one node are dealt to.
+SALTS = 64
+
+
+def _with_least(links: DataFrame, node: str, other: str) -> DataFrame:
+    """``links`` with m, the least ``other`` of each ``node``.
+
+    A node's links are dealt to parts by their other end, and only the parts
+    meet: a node with very many links has no task of its own.
+    """
+    dealt = links.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
+    parts = dealt.groupBy(node, "salt").agg(F.min(other).alias("least"))
+    whole = parts.groupBy(node).agg(F.min("least").alias("m"))
+    back = parts.select(node, "salt").join(whole, node)
+    return dealt.join(back, [node, "salt"]).select(node, other, "m")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for each node of ``links``: the smallest node that it is linked to, over any path.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until
-    the links are stars; every step is one shuffle by node, checkpointed, and
+    the links no longer change, which they do after a number of rounds that
+    grows with the logarithm of the nodes; every step is checkpointed, and
     nothing but a count reaches the driver.
     """
     spark = links.sparkSession
     with_checkpoints(spark)
     edges = links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u <> v").distinct().checkpoint()
     nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
-    before = None
-    for _ in range(MOST_ROUNDS):
+    before, now = None, (0, 0)
+    while before != now:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: every node's larger neighbours point to the least of its neighbourhood
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("m").alias("u"), "v").filter("u <> v").distinct()
+        large = _with_least(both, "u", "v").filter("v > u").select(F.least("u", "m").alias("y"), F.col("v").alias("x")).filter("x <> y").distinct()
         # small star: the smaller neighbours and the node itself point to the least of them
-        down = large.select(F.col("v").alias("x"), F.col("u").alias("y"))
-        least = down.groupBy("x").agg(F.min("y").alias("m"))
-        small = down.join(least, "x").select(F.col("m").alias("u"), F.col("y").alias("v")).union(least.select(F.col("m").alias("u"), F.col("x").alias("v")))
+        down = _with_least(large, "x", "y")
+        small = down.select(F.col("m").alias("u"), F.col("y").alias("v")).union(down.select(F.col("m").alias("u"), F.col("x").alias("v")))
         edges = small.filter("u <> v").distinct().checkpoint()
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        before, now = now, tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     return nodes.join(edges.select(F.col("v").alias("node"), F.col("u").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -227,29 +227,42 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def jaccard_classes(rows):
-    """Classes over labelled runs of five words, by comparing all pairs."""
-    sets = {}
-    for i, t in rows:
-        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
-        seen, s = Counter(), set()
-        for g in [tuple(w[j : j + 5]) for j in range(len(w) - 4)] or ([tuple(w)] if w else []):
-            seen[g] += 1
-            s.add((g, seen[g]))
-        sets[i] = s
-    root = {i: i for i in sets}
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=14), st.lists(st.integers(0, 3), max_size=14), st.integers(0, 14))
+def test_banded_distance_against_the_whole_table(a, b, most):
+    want = min(plain_distance(a, b), most + 1)
+    x, y = np.array(a, np.uint32), np.array(b, np.uint32)
+    assert order_minhash.distance(x, y, most) == want
+    if 0 < len(a) <= len(b) and len(b) - len(a) <= most:
+        assert min(order_minhash._by_waves(x, y, most), most + 1) == want == min(order_minhash._by_bits(x, y, most), most + 1)
+
+
+def edit_classes(rows, similar=0.8):
+    """Classes by the edit similarity of words, over all pairs."""
+    seqs = {i: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) for i, t in rows}
+    root = {i: i for i in seqs}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i in sets:
-        for j in sets:
-            if i < j and sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+    for i in seqs:
+        for j in seqs:
+            longest = max(len(seqs[i]), len(seqs[j]))
+            if i < j and seqs[i] and seqs[j] and abs(len(seqs[i]) - len(seqs[j])) <= 0.2 * longest and 1 - plain_distance(seqs[i], seqs[j]) / longest >= similar - 1e-12:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    return {i: find(i) for i in sets}
+    return {i: find(i) for i in seqs}
 
 
 @pytest.mark.parametrize("block", [512, 4])
@@ -266,7 +279,28 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, block):
     rows += [(100 + i, " ".join(f"w{x}" for x in rng.integers(0, 4000, 80)) + " " + " ".join(base[:40])) for i in range(15)]
     rows += [(200, "a b"), (201, "A, b!"), (202, "a b c"), (203, ""), (204, None), (205, "a a a a a a a a a"), (206, "a a a a a a a a a a")]
     got = {r.doc_id: r.class_id for r in order_minhash.classes(frame(spark, rows)).collect()}
-    assert got == jaccard_classes(rows)
+    assert got == edit_classes(rows)
+
+
+def test_recall_of_planted_edits(spark):
+    rng = np.random.default_rng(5)
+    rows, pairs = [], []
+    for rate in range(1, 11):
+        for i in range(60):
+            n = int(rng.integers(60, 400))
+            w = [f"w{x}" for x in rng.integers(0, 3000, n)]
+            v = []
+            for x in w:  # a word changed, left out, or one put in
+                kind = rng.integers(0, 3) if rng.random() < rate / 100 else 3
+                v += {0: [f"n{rng.integers(0, 10**9)}"], 1: [], 2: [x, f"n{rng.integers(0, 10**9)}"], 3: [x]}[int(kind)]
+            a = len(rows)
+            rows += [(a, " ".join(w)), (a + 1, " ".join(v))]
+            pairs.append((rate, a, a + 1))
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(frame(spark, rows)).collect()}
+    for rate in range(1, 11):
+        found = [got[a] == got[b] for r, a, b in pairs if r == rate]
+        assert sum(found) / len(found) >= 0.9, rate
+    assert len({got[a] for _, a, _ in pairs}) == len(pairs)
 
 
 def test_near_duplicates_edges(spark):
@@ -279,9 +313,29 @@ def test_near_duplicates_edges(spark):
 
 
 def test_alignment_needs_the_order():
-    a = np.arange(100, dtype=np.uint64)
-    assert order_minhash.aligned(a, a) == 1.0
-    assert order_minhash.aligned(a, np.concatenate((a[50:], a[:50]))) == 0.0
+    a = np.arange(100, dtype=np.uint32)
+    assert order_minhash.similarity(a, a) == 1.0
+    assert order_minhash.similarity(a, np.concatenate((a[50:], a[:50]))) == 0.0
     b = a.copy()
-    b[10:20] += np.uint64(1000)
-    assert round(order_minhash.aligned(a, b), 4) == round(90 / 110, 4)
+    b[10:20] += np.uint32(1000)
+    assert order_minhash.similarity(a, b) == 0.9
+
+
+def test_near_duplicates_of_long_texts_and_clashing_names(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    w = [f"w{x}" for x in rng.integers(0, 5000, 40_000)]
+    v = list(w)
+    for j in rng.choice(len(w), 900, replace=False):
+        v[j] = "other"
+    rows = [(1, " ".join(w), 7, "k"), (2, " ".join(v), 8, "k"), (3, None, 9, "k"), (4, "", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, class_id int, key string")
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+    kept = order_minhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns and sorted((r.doc_id, r.class_id) for r in kept.collect()) == [(1, 7), (3, 9), (4, None)]
+
+
+def test_components_of_a_star(spark):
+    links = spark.range(1, 5000).selectExpr("id AS a", "0L AS b").unionAll(spark.range(5000, 5600).selectExpr("id AS a", "id + 1 AS b"))
+    got = components(links).groupBy("root").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 5000), (5000, 601)]
