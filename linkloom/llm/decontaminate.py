@@ -1,25 +1,26 @@
 """Benchmark decontamination with Spark expressions only.
 
-A benchmark item's windows are its runs of 10 words.  Each window has an
-anchor, its longest word.  The anchors are a hash set in every task; a
-document's words are scanned against it, and only where an anchor stands are
-the ten words each side looked at: a broadcast join brings the windows of that
-anchor and a comparison of all words verifies the hit.  No text is shuffled.
-
-What is broadcast is bounded: at most ``BLOCK_WINDOWS`` windows at a time.  A
-larger benchmark is taken in blocks, each a scan of its own.
+A benchmark item's windows are its runs of 10 words.  Their hashes are a set
+that is broadcast; a document's words are scanned window by window against it,
+and a comparison of all words verifies each hit.  Texts are scanned in chunks
+of words, so a very long one needs no more memory than many short ones, and no
+text is shuffled.
+
+The set's size is checked: one of more than ``MOST_BROADCAST`` windows is not
+broadcast, and the windows of documents meet it in a shuffled join by hash,
+still in one scan.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 10
-#: Windows of one broadcast, of up to 10 words each.
-BLOCK_WINDOWS = 100_000
+#: Windows of a broadcast set, each of at most 10 words.
+MOST_BROADCAST = 500_000
+#: Words of a text that are scanned at a time.
+CHUNK = 1000
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -34,75 +35,81 @@ def words(text: Column) -> Column:
 
 
 def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", width: int = WINDOW) -> DataFrame:
-    """anchor, off, win, item_id: each window of each item, once."""
+    """hash, win, item_id: each window of each item, once."""
     items = benchmark.select(F.col(item).alias("item_id"), words(F.col(text)).alias("w")).filter(F.size("w") > 0)
     runs = items.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (width - 1), F.lit(1))), lambda i: F.slice("w", i, F.lit(width)))).alias("win"))
-    runs = runs.distinct()
-    best = F.array_max(F.transform("win", lambda w, j: F.struct(F.length(w).alias("n"), w.alias("anchor"), (-j).alias("back"))))
-    return runs.select("item_id", "win", best.alias("b")).select(F.col("b.anchor").alias("anchor"), (-F.col("b.back")).alias("off"), "win", "item_id")
-
+    return runs.distinct().select(F.xxhash64("win").alias("hash"), "win", "item_id")
 
-def _scan(docs: DataFrame, wins: DataFrame, anchors: list[str], width: int) -> DataFrame:
-    """A row for each document (item null) and one for each verified occurrence."""
-    near = docs.withColumn("at", F.filter(F.transform("w", lambda x, i: F.when(x.isin(anchors), i).otherwise(F.lit(-1))), lambda i: i >= 0))
-    around = F.transform("at", lambda i: F.struct(i.alias("pos"), F.get("w", i).alias("anchor"), F.least(i, F.lit(width - 1)).alias("left"), F.slice("w", F.greatest(i - (width - 2), F.lit(1)), F.lit(2 * width - 1)).alias("ctx")))
-    none = F.array(F.lit(None).cast("struct<pos:int,anchor:string,left:int,ctx:array<string>>"))
-    rows = near.select("rid", "doc_id", "n_words", F.explode(F.concat(none, around)).alias("c"))
-    rows = rows.select("rid", "doc_id", "n_words", F.col("c.pos").alias("pos"), F.col("c.anchor").alias("anchor"), F.col("c.left").alias("left"), F.col("c.ctx").alias("ctx"))
-    joined = rows.join(F.broadcast(wins), "anchor", "left")
-    hit = (F.col("off") <= F.col("left")) & (F.slice("ctx", F.col("left") - F.col("off") + 1, F.size("win")) == F.col("win"))
-    return joined.filter(F.col("pos").isNull() | hit).select("rid", "doc_id", "n_words", (F.col("pos") - F.col("off")).alias("start"), F.size("win").alias("len"), F.col("item_id").alias("item"))
 
-
-def occurrences(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", width: int = WINDOW) -> DataFrame:
+def occurrences(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", width: int = WINDOW, item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, spans (first word, words), items.
 
     ``rid`` tells rows apart, so repeated ids and rows each get a row.  Null
     and empty texts have no words and no hits; items without words have no
-    windows; an empty benchmark hits nothing; other columns are ignored.
+    windows; an empty benchmark hits nothing; an item that is there twice is
+    one; other columns are ignored; an empty table gives no rows.
     """
+    wins = windows(benchmark, item, item_text, width)
+    sizes = wins.groupBy(F.size("win").alias("n")).count().collect()  # a row for each length, ``width`` at most
+    lengths, total = sorted(r["n"] for r in sizes), sum(r["count"] for r in sizes)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("doc_id"), words(F.col(text)).alias("w"))
-    rows = rows.select("rid", "doc_id", "w", F.size("w").cast("long").alias("n_words"))
-    wins = windows(benchmark, width=width)
-    n = wins.count()
-    blocks = max(1, -(-n // BLOCK_WINDOWS))
-    scans = []
-    for b in range(blocks):
-        own = wins if blocks == 1 else wins.filter(F.pmod(F.xxhash64("anchor"), F.lit(blocks)) == b)
-        anchors = [x[0] for x in own.select("anchor").distinct().collect()]
-        scans.append(_scan(rows, own, anchors, width))
-    found = reduce(DataFrame.unionByName, scans)
-    span = F.when(F.col("start").isNotNull(), F.struct("start", "len"))
-    return found.groupBy("rid", "doc_id").agg(F.max("n_words").alias("n_words"), F.collect_set(span).alias("spans"), F.collect_set("item").alias("items"))
-
-
-def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of ``docs``."""
-    found = occurrences(docs, benchmark)
+    chunk = lambda c: F.struct((c * CHUNK).alias("base"), F.slice("w", c * CHUNK + 1, F.lit(CHUNK + width - 1)).alias("w"))
+    chunks = F.transform(F.sequence(F.lit(0), F.expr(f"greatest(size(w) - 1, 0) div {CHUNK}").cast("int")), chunk)
+    parts = rows.select("rid", "doc_id", F.size("w").cast("long").alias("n_words"), F.explode(chunks).alias("c"))
+    parts = parts.select("rid", "doc_id", "n_words", F.col("c.base").alias("base"), F.col("c.w").alias("w"))
+    # the first chunk's first row stands for the text itself
+    kind = "array<struct<pos:int,win:array<string>>>"
+    found = [F.when(F.col("base") == 0, F.array(F.lit(None).cast("struct<pos:int,win:array<string>>"))).otherwise(F.array().cast(kind))]
+    for n in lengths:
+        starts = F.least(F.size("w") - (n - 1), F.lit(CHUNK))
+        run = F.transform(F.sequence(F.lit(1), F.greatest(starts, F.lit(1))), lambda i: F.struct((F.col("base") + i - 1).cast("int").alias("pos"), F.slice("w", i, F.lit(n)).alias("win")))  # noqa: B023
+        found.append(F.when(starts >= 1, run).otherwise(F.array().cast(kind)))
+    at = parts.select("rid", "doc_id", "n_words", F.explode(F.concat(*found)).alias("x")).select("rid", "doc_id", "n_words", F.col("x.pos").alias("pos"), F.col("x.win").alias("here"))
+    at = at.withColumn("at_hash", F.xxhash64("here"))
+    joined = at.join(F.broadcast(wins) if total <= MOST_BROADCAST else wins, F.col("at_hash") == F.col("hash"), "left")
+    hits = joined.filter(F.col("pos").isNull() | (F.col("here") == F.col("win")))
+    span = F.when(F.col("pos").isNotNull(), F.struct(F.col("pos").alias("start"), F.size("here").alias("len")))
+    return hits.groupBy("rid", "doc_id").agg(F.max("n_words").alias("n_words"), F.collect_set(span).alias("spans"), F.collect_set(F.when(F.col("pos").isNotNull(), F.col("item_id"))).alias("items"))
+
+
+def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of ``docs``; cases as in :func:`occurrences`."""
+    found = occurrences(docs, benchmark, key, text, item=item, item_text=item_text)
     hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1)))))
     found = found.select("doc_id", "n_words", hit.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ","), 256).alias("items_sha256"))
     return found.withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def _marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    tagged = docs.select(F.col("doc_id"), F.col("text"))
-    tagged = tagged.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text")
-    return occurrences(tagged, benchmark).filter(F.size("spans") > 0).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.h").alias("_h"), "spans")
+def _marked(docs: DataFrame, benchmark: DataFrame, key: str, text: str) -> DataFrame:
+    """id, digest and spans of the texts that hold a window."""
+    tagged = docs.select(F.struct(F.col(key).alias("id"), F.sha2(text, 256).alias("digest")).alias("mark"), F.col(text).alias("body"))
+    return occurrences(tagged, benchmark, "mark", "body").filter(F.size("spans") > 0).select("doc_id.id", "doc_id.digest", "spans")
+
 
+def _with_marks(docs: DataFrame, bad: DataFrame, key: str, text: str, how: str) -> DataFrame:
+    """``row``, a row of ``docs`` whole, joined to its marks: no name of its columns can clash."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("row_id"), F.sha2(text, 256).alias("row_digest"))
+    return rows.join(bad, F.col("row_id").eqNullSafe(F.col("id")) & F.col("row_digest").eqNullSafe(F.col("digest")), how)
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a window, with all their columns."""
-    bad = _marked(docs, benchmark).select("_id", "_h").distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the documents that hold a window, with all their columns.
+
+    Null and empty texts and null ids stay as they are; rows that repeat stay
+    or go together; an empty table or benchmark drops nothing.
+    """
+    bad = _marked(docs, benchmark, key, text).select("id", "digest").distinct()
+    return _with_marks(docs, bad, key, text, "left_anti").select("row.*")
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with the words of hit windows, and the gap after each, cut out of ``text``."""
-    bad = _marked(docs, benchmark).dropDuplicates(["_id", "_h"])
-    rows = docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left")
+def remove_spans(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the words of hit windows, and the gap after each, cut out of the text; other texts stay as they are."""
+    bad = _marked(docs, benchmark, key, text).dropDuplicates(["id", "digest"])
+    rows = _with_marks(docs, bad, key, text, "left").select("row", "spans")
     pattern = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    gone = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1)))
-    rows = rows.withColumn("_gone", F.array_distinct(gone)).withColumn("_gaps", F.split("text", pattern)).withColumn("_words", F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1)))
-    kept = F.transform("_words", lambda w, i: F.when(F.array_contains("_gone", i), F.lit("")).otherwise(F.concat(w, F.get("_gaps", i + 1))))
-    cut = F.concat(F.get("_gaps", F.lit(0)), F.array_join(kept, ""))
-    return rows.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
+    body = F.col("row").getField(text)
+    gone = F.map_from_entries(F.transform(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1)))), lambda i: F.struct(i, F.lit(True))))
+    rows = rows.withColumns({"gone": gone, "gaps": F.split(body, pattern), "found": F.regexp_extract_all(body, F.lit(f"({pattern})"), F.lit(1))})
+    kept = F.transform("found", lambda w, i: F.when(F.map_contains_key("gone", i), F.lit("")).otherwise(F.concat(w, F.get("gaps", i + 1))))
+    cut = F.concat(F.get("gaps", F.lit(0)), F.array_join(kept, ""))
+    return rows.select(*[F.when(F.col("spans").isNull(), body).otherwise(cut).alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from linkloom.llm import boosting, decontaminate, license_scan, pii, secret_scan
@@ -76,16 +77,27 @@ def test_decontamination_against_brute_force(spark):
     assert cut[0] == "x y" and cut[4] == texts[4] and cut[5] is None
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
-    bench = spark.createDataFrame([(i, f"w{i} q r s t u v w x y z{i} end") for i in range(9)], "item_id long, text string")
-    docs = frame(spark, [f"pre w{i} q r s t u v w x y z{i} end" for i in range(0, 9, 2)])
+def test_decontamination_without_a_broadcast_and_in_small_chunks(spark, monkeypatch):
+    bench = spark.createDataFrame([(i, f"w{i} q r s t u v w x y z{i} end") for i in range(9)] + [(9, "tiny item")] * 2, "item_id long, text string")
+    docs = frame(spark, [f"pre w{i} q r s t u v w x y z{i} end tiny item" for i in range(0, 9, 2)] * 2)
     whole = sorted(map(tuple, decontaminate.report(docs, bench).collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 5)
-    assert sorted(map(tuple, decontaminate.report(docs, bench).collect())) == whole
-    assert decontaminate.report(docs, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
+    for name, value in (("MOST_BROADCAST", 5), ("CHUNK", 3)):
+        monkeypatch.setattr(decontaminate, name, value)
+        assert sorted(map(tuple, decontaminate.report(docs, bench).collect())) == whole
+    assert len(whole) == 10 and decontaminate.report(docs, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
     assert decontaminate.report(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_with_clashing_names(spark):
+    names = ["spans", "gone", "gaps", "found", "row", "id", "digest", "rid", "hash", "win", "pos", "item_id", "n_words", "base"]
+    df = spark.createDataFrame([(None, "one two three x", *names), (2, "y", *names), (2, "y", *names), (3, None, *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    assert sorted(map(str, decontaminate.report(df, bench).select("doc_id", "n_hit").collect())) == sorted(map(str, [Row(doc_id=None, n_hit=3), Row(doc_id=2, n_hit=0), Row(doc_id=2, n_hit=0), Row(doc_id=3, n_hit=0)]))
+    left, cut = decontaminate.drop_contaminated(df, bench), decontaminate.remove_spans(df, bench)
+    assert left.columns == cut.columns == df.columns and left.count() == 3
+    assert sorted(map(str, cut.select("text", "spans", "win").collect())) == sorted(map(str, [Row(text=t, spans="spans", win="win") for t in ("x", "y", "y", None)]))
+
+
 PII = [
     "mail a.b@c.de and x@y, q@w.e_r@t.yz", "ip 1.2.3.4 and 1.2.3.256 and 1.2.3.4.5.6.7.8 001.002.003.004", "card 4111 1111 1111 1111 or 4111-1111-1111-1112 and 12345678901234567890",
     "call +1 (682) 555-5413 or +12 or + 1 or +1234567890123456", "\x01a@b.cd\x01 \x02", "é🙂 a@b.cd 🙂 +49 30 1234567", "", None, "a" * 30_000, "1" * 30_000, "1 " * 20_000, "@" * 2_000 + "a@b.c", "x@y.z" * 300,
