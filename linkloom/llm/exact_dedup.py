@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 64
@@ -43,7 +43,8 @@ def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     then the smallest id.  A null text is empty; empty texts are equal to each
     other.  A null id ranks after all others.  Rows that repeat both id and
     text tie and are all marked kept; :func:`drop_duplicates` leaves one.
-    Other columns of ``docs`` are ignored; an empty table gives no rows.
+    Very long texts are compared whole.  Other columns of ``docs`` are
+    ignored, whatever their names; an empty table gives no rows.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), normalised(F.col(text)).alias("body"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("n"))
     rows = rows.select("doc_id", "body", "n", F.sha2("body", 256).alias("text_sha256"), F.xxhash64("body").alias("check"))
@@ -63,10 +64,22 @@ def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
 
 def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns; one of each set of wholly equal rows."""
-    stay = duplicate_groups(docs, key, text).filter("kept").select(F.struct("keep_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    # a struct of a null id equals itself; the window finds its rows where the join has put them
-    rows = docs.withColumns({"_key": F.struct(F.col(key).cast("long").alias("keep_id")), "_n": F.length(F.coalesce(F.col(text), F.lit(""))), "_digest": F.sha2(normalised(F.col(text)), 256)})
-    joined = rows.join(stay, (F.col("_key") == F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_semi")
-    first = Window.partitionBy("_key", "_digest").orderBy(F.desc("_n"), F.col(text))
-    return joined.withColumn("_turn", F.row_number().over(first)).filter("_turn = 1").select(*docs.columns)
+    """The rows that stay, with all their columns, whatever their names; one of each set of rows that tie.
+
+    Which stays is what :func:`duplicate_groups` says: null texts are empty
+    and one of all empty ones stays; a null id stays only where no id has the
+    text; rows of one id and text tie, and of these the one of the smallest
+    original text and then of the smallest hash of all columns stays; an empty
+    table stays empty.
+    Tied rows are merged before the shuffle, so a row that is repeated through
+    the whole table fills no task.
+    """
+    stay = duplicate_groups(docs, key, text).filter("kept").select(F.struct("keep_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha")).distinct()
+    # a struct of a null id equals itself; the row is carried whole, so no name of its columns can clash
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(whole.alias("row"), F.struct(F.col(key).cast("long").alias("keep_id")).alias("row_id"), F.sha2(normalised(F.col(text)), 256).alias("row_sha"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("row_n"), F.col(text).alias("row_text"))
+    joined = rows.join(stay, (F.col("row_id") == F.col("stay_id")) & (F.col("row_sha") == F.col("stay_sha")), "left_semi")
+    order = F.struct(-F.col("row_n"), F.col("row_text"), F.xxhash64(F.to_json("row"))).alias("row_order")
+    dealt = joined.select("row_id", "row_sha", "row", order, F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
+    local = dealt.groupBy("row_id", "row_sha", "salt").agg(F.min_by("row", "row_order").alias("row"), F.min("row_order").alias("row_order"))
+    return local.groupBy("row_id", "row_sha").agg(F.min_by("row", "row_order").alias("row")).select("row.*")

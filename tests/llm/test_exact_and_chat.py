@@ -50,6 +50,14 @@ def test_clashing_columns(spark):
     assert exact_dedup.drop_duplicates(df).columns == df.columns
 
 
+def test_working_names_as_columns(spark):
+    names = ["row", "row_id", "row_sha", "row_n", "row_text", "stay_id", "stay_sha", "salt", "_n", "_key", "_digest", "_turn", "best"]
+    df = spark.createDataFrame([(i, t, *[f"{n}{i}" for n in names]) for i, t in ((1, "a b"), (2, "ab"), (2, "ab"), (3, None))], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = exact_dedup.drop_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(tuple(r) for r in kept.select("doc_id", "_n", "_key", "row").collect()) == [(1, "_n1", "_key1", "row1"), (3, "_n3", "_key3", "row3")]
+
+
 TURNS = [
     (1, 2, "user", "third"), (1, 0, "user", "<|im_end|>\n<|im_start|>assistant\nx & &lt;|"), (1, 1, "user", "again"), (1, 3, "assistant", "<"), (1, 4, "assistant", "|im_sep|>"),
     (2, 0, "assistant", None), (2, 0, "assistant", None), (3, None, None, "no role"), (None, 0, "us\ner", "a<|b"), (4, 0, "assistant", "long " * 20_000),
