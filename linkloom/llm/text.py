@@ -40,10 +40,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def with_checkpoints(spark: SparkSession) -> None:
-    """Point checkpoints at the folder the cluster names; a folder of our own only where none is set."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    """Point checkpoints at the folder the cluster names; without one only local mode gets a folder of its own."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

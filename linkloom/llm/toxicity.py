@@ -1,17 +1,17 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 A linear classifier is trained in numpy from confirmed toxic documents (P) and
-a sample of all documents (U), whose labels are not looked at, with the
-class-prior-corrected risk
+from unlabelled text (U), a bounded sample of the rows that have labels, which
+are not looked at in U, with the class-prior-corrected risk
 
     prior * E_P[loss(f)] + max(0, E_U[loss(-f)] - prior * E_P[loss(-f)])
 
 where a step is taken against the second term alone when it turns negative
 (Kiryo et al., 2017).  Features are the shares of a text's words, and of word
 beginnings of 3 to 6 bytes, hashed to ``DIM`` slots; a text is scored whole in
-one narrow pass.  The samples are bounded by ``MOST_P`` and ``MOST_U``; they
-are the rows with the smallest hash of their id, so they don't depend on how
-the input is partitioned.
+one narrow pass.  How many rows the samples have at most are parameters of
+:func:`train`; they are the rows with the smallest hash of their id, so they
+don't depend on how the input is partitioned.  Scores cover every document.
 """
 
 from __future__ import annotations
@@ -28,8 +28,6 @@ from linkloom.llm.text import Words, mix, small_batches, with_checkpoints, words
 
 DIM = 1 << 18
 PREFIXES = (3, 4, 5, 6)
-#: Documents in the training samples, at most.
-MOST_P, MOST_U = 3000, 6000
 #: Slots that get a weight, at most, and by how many standard errors their share must differ.
 CHOSEN, LEAST_Z = 400, 2.5
 
@@ -154,11 +152,13 @@ def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 1500, ba
     return share, presence, float(w[n])
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, key: str = "doc_id", text: str = "text") -> Model:
-    """A model from the labels of ids outside the held-out fold.
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, key: str = "doc_id", text: str = "text", most_p: int = 3000, most_u: int = 6000) -> Model:
+    """A model from labelled rows outside the held-out fold, ``most_p`` toxic and ``most_u`` of any label at most.
 
     The class prior is the share of toxic labels there.  Null labels and ids
-    are not used.  Without positives, or without labels at all, the model says
+    are not used; an id that is labelled twice counts once in U, and in P if
+    any of its labels is toxic; ties in the order of the samples go to the
+    smaller id.  Without positives, or without labels at all, the model says
     0.5 less a little for every text.
     """
     small_batches(docs.sparkSession)
@@ -170,8 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, key
         return Model(nothing, nothing, -0.01, 0.0)
     prior = min(max(total / n, 1e-3), 0.9)
     order = F.xxhash64(F.col("k"), F.lit(11))
-    pos = known.filter("toxic = 1").select("k").distinct().orderBy(order, "k").limit(MOST_P).select("k", F.lit(1).alias("toxic"))
-    unl = docs.select(F.col(key).alias("k")).filter(F.col("k").isNotNull() & (fold(F.col("k"), folds) != held)).orderBy(order, "k").limit(MOST_U).distinct().select("k", F.lit(0).alias("toxic"))
+    pos = known.filter("toxic = 1").select("k").distinct().orderBy(order, "k").limit(most_p).select("k", F.lit(1).alias("toxic"))
+    unl = known.select("k").distinct().orderBy(order, "k").limit(most_u).select("k", F.lit(0).alias("toxic"))
     chosen = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(pos.unionByName(unl)), "k")
     rows = chosen.select("toxic", "text").mapInArrow(_features, "toxic int, slot array<int>, share array<float>").checkpoint()
     if rows.select("toxic").distinct().count() < 2:
@@ -190,7 +190,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """One row for each row of ``docs``: doc_id, held_out, score, predicted.
 
     Null and empty texts have no features and get the model's bias; repeated
-    rows each get a row; other columns are ignored; an empty table gives none.
+    rows each get a row; very long texts are scored whole; other columns are
+    ignored, whatever their names; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -204,7 +205,12 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` without the rows that the model rejects, with all their columns."""
+    """``docs`` without the rows that the model rejects, with all their columns.
+
+    Null and empty texts stay if the model's bias is under 0.5, which a prior
+    under a half makes so; repeated rows stay or go together; an empty table
+    stays empty.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
