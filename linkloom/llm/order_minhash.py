@@ -39,7 +39,7 @@ DRAWN = 2
 TABLES = 20
 SIMILAR = 0.8
 #: Members and words of a block, at most, unless one text has more.
-BLOCK, BLOCK_WORDS = 512, 500_000
+BLOCK, BLOCK_WORDS = 1024, 500_000
 #: Up to so many words the distance is computed with one bit a word.
 BITS = 4096
 _SEEDS = mix(np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -236,11 +236,12 @@ def similarity(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR) -> float:
     return 1 - d / longest if d <= most and longest else 0.0
 
 
-def spanning_links(ids: list, texts: list[np.ndarray], asks: np.ndarray | None = None, group: np.ndarray | None = None, similar: float = SIMILAR) -> list[tuple]:
+def spanning_links(ids: list, texts: list[np.ndarray], asks: np.ndarray | None = None, group: np.ndarray | None = None, side: np.ndarray | None = None, similar: float = SIMILAR) -> list[tuple]:
     """Verified links that connect all similar texts of a task.
 
     Only pairs that a text of ``asks`` is part of count, all if it is not
-    given; texts of one ``group`` are connected already.  Words shared as bags
+    given; texts of one ``group`` are connected already, and those of one
+    ``side`` have been compared.  Words shared as bags
     are counted through an inverted index, so that pairs that share too few
     are never aligned, nor are pairs that are connected.
     """
@@ -260,7 +261,7 @@ def spanning_links(ids: list, texts: list[np.ndarray], asks: np.ndarray | None =
     for i in np.flatnonzero(asks):
         bound = np.maximum(sizes, sizes[i])
         most = np.floor(bound * (1 - similar) + 1e-9)
-        can = (part != part[i]) & (np.abs(sizes - sizes[i]) <= most) & ~(asks & (np.arange(n) < i))
+        can = (part != part[i]) & (side != side[i] if side is not None else part >= 0) & (np.abs(sizes - sizes[i]) <= most) & ~(asks & (np.arange(n) < i))
         if not can.any():
             continue
         own = code[begin[i] : begin[i + 1]]
@@ -281,14 +282,14 @@ def _verify(similar: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["asks", "id"]).drop_duplicates("id", keep="last")  # who both asks and is asked, asks
         texts = [np.frombuffer(x, np.uint32) for x in pdf["body"]]
-        found = spanning_links(pdf["id"].tolist(), texts, pdf["asks"].to_numpy(), pdf["grp"].to_numpy(), similar)
+        found = spanning_links(pdf["id"].tolist(), texts, pdf["asks"].to_numpy(), pdf["grp"].to_numpy(), pdf["side"].to_numpy(), similar)
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     return run
 
 
 def _links(members: DataFrame, bodies: DataFrame, similar: float) -> DataFrame:
-    """Links that tasks find; ``members`` are rows (task columns t1, t2, t3, id, asks, grp)."""
+    """Links that tasks find; ``members`` are rows (task columns t1, t2, t3, id, asks, grp, side)."""
     rows = members.join(bodies, "id")
     return rows.groupBy("t1", "t2", "t3").applyInPandas(_verify(similar), "a long, b long")
 
@@ -321,7 +322,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: f
     large = members.filter("blocks > 1")
     own = members.select(F.col("key").alias("t1"), F.col("block").alias("t2"), F.lit(0).alias("t3"), "id")
     spread = once.filter("blocks > 1").select(F.col("key").alias("t1"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t2"), F.lit(0).alias("t3"), F.explode("pivots").alias("id"))
-    found = _links(own.unionByName(spread).distinct().select("*", F.lit(True).alias("asks"), F.col("id").alias("grp")), bodies, similar).checkpoint()
+    found = _links(own.unionByName(spread).distinct().select("*", F.lit(True).alias("asks"), F.col("id").alias("grp"), F.col("id").alias("side")), bodies, similar).checkpoint()
     roots = components(found).checkpoint()
     if not large.isEmpty():
         marked = large.join(roots, F.col("id") == F.col("node"), "left").select("key", "block", "blocks", "id", "n", F.coalesce("root", "id").alias("grp"))
@@ -330,9 +331,15 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: f
         others = F.greatest(F.ceil((F.col("c") - F.col("x.c")) / BLOCK), F.ceil((F.col("w") - F.col("x.w")) / BLOCK_WORDS)).cast("int")
         marked = marked.join(main.select("key", F.col("x.grp").alias("main"), others.alias("parts")).filter("parts > 0"), "key")
         every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        asked = marked.select(F.col("key").alias("t1"), F.col("block").alias("t2"), every(F.col("parts")).alias("t3"), "id", F.lit(False).alias("asks"), "grp")
-        asking = marked.filter("grp <> main").select(F.col("key").alias("t1"), every(F.col("blocks")).alias("t2"), F.pmod(F.xxhash64("id", F.lit(6)), F.col("parts")).cast("int").alias("t3"), "id", F.lit(True).alias("asks"), "grp")
-        more = _links(asked.unionByName(asking), bodies, similar)
+        marked = marked.withColumn("asks", F.col("grp") != F.col("main")).withColumn("side", F.col("block").cast("long"))
+        what = ["id", "asks", "grp", "side"]
+        # many askers: every block meets every other; few: they are sent to all blocks, in parts that a task can hold
+        many = F.col("parts") * 2 >= F.col("blocks")
+        met = marked.filter(many).withColumn("other", every(F.col("blocks"))).filter("other <> block")
+        met = met.select(F.col("key").alias("t1"), F.least("block", "other").alias("t2"), F.greatest("block", "other").alias("t3"), *what)
+        asked = marked.filter(~many).withColumn("asks", F.lit(False)).select(F.col("key").alias("t1"), F.col("block").alias("t2"), every(F.col("parts")).alias("t3"), *what)
+        asking = marked.filter(~many).filter("asks").select(F.col("key").alias("t1"), every(F.col("blocks")).alias("t2"), F.pmod(F.xxhash64("id", F.lit(6)), F.col("parts")).cast("int").alias("t3"), *what)
+        more = _links(met.unionByName(asked).unionByName(asking), bodies, similar)
         roots = components(found.unionByName(more))
     named = some.select("h1", "h2", "n", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("class_id"))
     small = rows.mapInArrow(_sequences, "doc_id long, n_words long, o1 long, o2 long")
