@@ -69,15 +69,37 @@ def partial_ratio(a: str, b: str) -> float:
         a, b = b, a
 
     def best(short: str, long: str) -> float:
-        n, letters = len(short), set(short)
-        top = 0.0
+        n = len(short)
+        where: dict[str, int] = {}
+        for i, x in enumerate(short):
+            where[x] = where.get(x, 0) | (1 << i)
+        full = (1 << n) - 1
+        room = {x: w.bit_count() for x, w in where.items()}  # letters of the text that the window lacks; below 0 it has more
+        shared, bounds = 0, []
         for i in range(1 - n, len(long)):
+            if i + n <= len(long):
+                x = long[i + n - 1]
+                if x in room:
+                    shared += room[x] > 0
+                    room[x] -= 1
+            if i > 0:
+                x = long[i - 1]
+                if x in room:
+                    room[x] += 1
+                    shared -= room[x] > 0
+            # no window has more in common with the text than their letters as bags
+            if shared:
+                bounds.append((-shared / (n + min(i + n, len(long)) - max(i, 0)), i))
+        top = 0.0
+        for bound, i in sorted(bounds):
+            if -200.0 * bound <= top:
+                break
             window = long[max(i, 0) : i + n]
-            # a window that ends, or at the far end begins, with a letter of the text is at least as good as its neighbour
-            if (window[-1] if i + n <= len(long) else window[0]) in letters:
-                top = max(top, ratio(short, window))
-                if top == 100.0:
-                    break
+            s = full
+            for y in window:
+                u = s & where.get(y, 0)
+                s = ((s + u) | (s - u)) & full
+            top = max(top, 200.0 * (n - s.bit_count()) / (n + len(window)))
         return top
 
     out = best(a, b)
