@@ -1,10 +1,11 @@
 """Benchmark decontamination with Spark expressions only.
 
 A benchmark item's windows are its runs of 10 words.  Their hashes are a set
-that is broadcast; a document's words are scanned window by window against it,
-and a comparison of all words verifies each hit.  Texts are scanned in chunks
-of words, so a very long one needs no more memory than many short ones, and no
-text is shuffled.
+that is broadcast; a document's words are hashed once, the hashes of its
+windows are scanned against the set, and a comparison of all words verifies
+each hit; words are taken out of a text for hits alone.  Texts are scanned in
+chunks of words, so a very long one needs no more memory than many short ones,
+and no text is shuffled.
 
 The set's size is checked: one of more than ``MOST_BROADCAST`` windows is not
 broadcast, and the windows of documents meet it in a shuffled join by hash,
@@ -38,7 +39,12 @@ def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", wid
     """hash, win, item_id: each window of each item, once."""
     items = benchmark.select(F.col(item).alias("item_id"), words(F.col(text)).alias("w")).filter(F.size("w") > 0)
     runs = items.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (width - 1), F.lit(1))), lambda i: F.slice("w", i, F.lit(width)))).alias("win"))
-    return runs.distinct().select(F.xxhash64("win").alias("hash"), "win", "item_id")
+    return runs.distinct().select(F.xxhash64(_hashes("win")).alias("hash"), "win", "item_id")
+
+
+def _hashes(of: str) -> Column:
+    """The hash of each word; a window's hash is that of its words' hashes."""
+    return F.transform(of, lambda x: F.xxhash64(x))
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", width: int = WINDOW, item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -55,18 +61,26 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("doc_id"), words(F.col(text)).alias("w"))
     chunk = lambda c: F.struct((c * CHUNK).alias("base"), F.slice("w", c * CHUNK + 1, F.lit(CHUNK + width - 1)).alias("w"))
     chunks = F.transform(F.sequence(F.lit(0), F.expr(f"greatest(size(w) - 1, 0) div {CHUNK}").cast("int")), chunk)
-    parts = rows.select("rid", "doc_id", F.size("w").cast("long").alias("n_words"), F.explode(chunks).alias("c"))
+    # the whole text's words end here: only a chunk goes with the rows of its windows
+    parts = rows.select("rid", "doc_id", F.size("w").cast("long").alias("n_words"), chunks.alias("c")).select("rid", "doc_id", "n_words", F.explode_outer("c").alias("c"))
     parts = parts.select("rid", "doc_id", "n_words", F.col("c.base").alias("base"), F.col("c.w").alias("w"))
-    # the first chunk's first row stands for the text itself
-    kind = "array<struct<pos:int,win:array<string>>>"
-    found = [F.when(F.col("base") == 0, F.array(F.lit(None).cast("struct<pos:int,win:array<string>>"))).otherwise(F.array().cast(kind))]
+    # a window is one number, its length times CHUNK and its place in the chunk; -1 stands for the text itself.
+    # No array is filtered for being empty (that would make it twice): a chunk without windows gives one more row for the text
+    none = F.array().cast("array<int>")
+    codes = [F.when(F.col("base") == 0, F.array(F.lit(-1))).otherwise(none)]
     for n in lengths:
         starts = F.least(F.size("w") - (n - 1), F.lit(CHUNK))
-        run = F.transform(F.sequence(F.lit(1), F.greatest(starts, F.lit(1))), lambda i: F.struct((F.col("base") + i - 1).cast("int").alias("pos"), F.slice("w", i, F.lit(n)).alias("win")))  # noqa: B023
-        found.append(F.when(starts >= 1, run).otherwise(F.array().cast(kind)))
-    at = parts.select("rid", "doc_id", "n_words", F.explode(F.concat(*found)).alias("x")).select("rid", "doc_id", "n_words", F.col("x.pos").alias("pos"), F.col("x.win").alias("here"))
-    at = at.withColumn("at_hash", F.xxhash64("here"))
-    joined = at.join(F.broadcast(wins) if total <= MOST_BROADCAST else wins, F.col("at_hash") == F.col("hash"), "left")
+        codes.append(F.when(starts >= 1, F.sequence(F.lit(n * CHUNK), F.lit(n * CHUNK - 1) + starts)).otherwise(none))
+    at = parts.select("*", _hashes("w").alias("h"), F.concat(*codes).alias("codes")).select("rid", "doc_id", "n_words", "base", "w", "h", F.explode_outer("codes").alias("code"))
+    place, length = F.col("code") % CHUNK, F.floor(F.col("code") / CHUNK).cast("int")
+    here = F.slice("w", place + 1, length).alias("here")
+    at_hash = F.when(F.col("code") >= 0, F.xxhash64(F.slice("h", place + 1, length))).alias("at_hash")
+    at = at.select("rid", "doc_id", "n_words", F.when(F.col("code") >= 0, F.col("base") + place).alias("pos"), "code", "w", at_hash)
+    if total <= MOST_BROADCAST:  # ``w`` goes no further than the scan's own stage
+        joined = at.join(F.broadcast(wins), F.col("at_hash") == F.col("hash"), "left").select("*", F.when(F.col("hash").isNotNull(), here).alias("here"))
+    else:
+        at = at.select("rid", "doc_id", "n_words", "pos", "at_hash", F.when(F.col("code") >= 0, here).alias("here"))
+        joined = at.join(wins, F.col("at_hash") == F.col("hash"), "left")
     hits = joined.filter(F.col("pos").isNull() | (F.col("here") == F.col("win")))
     span = F.when(F.col("pos").isNotNull(), F.struct(F.col("pos").alias("start"), F.size("here").alias("len")))
     return hits.groupBy("rid", "doc_id").agg(F.max("n_words").alias("n_words"), F.collect_set(span).alias("spans"), F.collect_set(F.when(F.col("pos").isNotNull(), F.col("item_id"))).alias("items"))
