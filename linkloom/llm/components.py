@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.text import with_checkpoints
+from linkloom.llm.text import release, with_checkpoints
 
 #: Parts that the links of one node are dealt to.
 SALTS = 64
@@ -29,8 +29,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until
     the links no longer change, which they do after a number of rounds that
-    grows with the logarithm of the nodes; every step is checkpointed, and
-    nothing but a count reaches the driver.
+    grows with the logarithm of the nodes; every step is checkpointed, the files
+    of the step before are released, and nothing but a count reaches the driver.
     """
     spark = links.sparkSession
     with_checkpoints(spark)
@@ -46,4 +46,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = down.select(F.col("m").alias("u"), F.col("y").alias("v")).union(down.select(F.col("m").alias("u"), F.col("x").alias("v")))
         edges = small.filter("u <> v").distinct().checkpoint()
         before, now = now, tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        del both, large, down, small
+        release(spark)
     return nodes.join(edges.select(F.col("v").alias("node"), F.col("u").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.components import components
-from linkloom.llm.text import grams, mix, small_batches, with_checkpoints, words_of
+from linkloom.llm.text import grams, mix, release, small_batches, with_checkpoints, words_of
 
 K = 5
 DRAWN = 2
@@ -305,6 +305,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: f
     spark = docs.sparkSession
     small_batches(spark)
     with_checkpoints(spark)
+    release(spark)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     drawn = rows.mapInArrow(_sketch, "id long, n long, h1 long, h2 long, keys array<long>")
     # equal word sequences: the least id stands for all; copies are merged before the shuffle
@@ -319,10 +320,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: f
     members = drawn_keys.join(once, "key").select("key", "blocks", "id", "n", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int").alias("block")).checkpoint()
     involved = members.select("id").distinct()
     bodies = rows.join(involved, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).mapInArrow(_contents, "id long, body binary").checkpoint()
+    release(spark)
     large = members.filter("blocks > 1")
     own = members.select(F.col("key").alias("t1"), F.col("block").alias("t2"), F.lit(0).alias("t3"), "id")
     spread = once.filter("blocks > 1").select(F.col("key").alias("t1"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t2"), F.lit(0).alias("t3"), F.explode("pivots").alias("id"))
     found = _links(own.unionByName(spread).distinct().select("*", F.lit(True).alias("asks"), F.col("id").alias("grp"), F.col("id").alias("side")), bodies, similar).checkpoint()
+    release(spark)
     roots = components(found).checkpoint()
     if not large.isEmpty():
         marked = large.join(roots, F.col("id") == F.col("node"), "left").select("key", "block", "blocks", "id", "n", F.coalesce("root", "id").alias("grp"))

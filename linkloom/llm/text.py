@@ -50,6 +50,15 @@ def with_checkpoints(spark: SparkSession) -> None:
     context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files, and checkpoints where it is told to, that no table refers to any more.
+
+    Its cleaner learns of them when the driver's heap is collected, which a
+    driver that does little else than plan seldom does by itself.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x.astype(np.uint64, copy=True)
