@@ -1,3 +1,5 @@
+import random
+
 import pandas as pd
 import pytest
 from hypothesis import given, settings
@@ -222,6 +224,23 @@ def test_preselection_of_equal_records(spark):
         assert taken(blocking.preselected(s1, cands, most, config)) == want and want
 
 
+def test_preselection_by_short_and_long_lists(spark):
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(9)]
+    recs = [(f"S{1 if i % 3 == 0 else 2}-{i:03}", " ".join(rng.choices(words, k=rng.randint(1, 5))), "", "US" if i % 7 else "FR") for i in range(240)]
+    norm = N.normalize(spark.createDataFrame(recs, "entity_id string, business_name string, business_address string, country string"))
+    s1, cands = norm.filter("entity_id like 'S1%'"), norm.filter("entity_id not like 'S1%'")
+    config = blocking.BlockingConfig(channels=("tok2", "sigtoken", "acronym"))
+    want = taken(blocking.top_k(blocking.votes(s1, cands, config), 5, "votes"))
+    for long, wide in ((0, 8), (0, 1), (1, 2)):
+        assert taken(blocking.preselected(s1, cands, 5, config, long, wide)) == want and want
+
+
+def test_met_bags_grow_with_the_records(spark):
+    made = lambda n: spark.range(n).selectExpr("lpad(id, 6, '0') AS id", "transform(array('same', concat('own', id)), k -> struct('US' AS country, 'tok2' AS space, k AS key, 1L AS n)) AS bag")
+    assert blocking.met_bags(made(900), made(900), 3).count() <= 900 * (1 + 3)
+
+
 def test_reranked_candidates_of_a_large_group(spark, tmp_path):
     docs = [(i, "alpha beta gamma delta epsilon zeta eta theta", "en", 45) for i in range(360)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
