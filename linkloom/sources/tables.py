@@ -75,10 +75,10 @@ def stitch(s1: DataFrame, lists: DataFrame, columns: Sequence[str]) -> DataFrame
 
 
 def write_tsv(df: DataFrame, path: str, single: bool = True) -> None:
-    """A tab-separated file with a header; rows by row_pos if there is one. ``single`` asks for one file, else one per range."""
+    """A tab-separated file with a header; rows by row_pos if there is one, and spaces at the ends of fields stay. ``single`` asks for one file, else one per range."""
     if "row_pos" in df.columns:
         df = df.orderBy("row_pos").drop("row_pos")
-    (df.coalesce(1) if single else df).write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(path)
+    (df.coalesce(1) if single else df).write.mode("overwrite").options(sep="\t", header=True, quote="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_by_country(df: DataFrame, path: str) -> None:

@@ -19,6 +19,12 @@ def test_tsv_round_trip(spark, tmp_path):
     assert text == "id\tids\na\tx,y\nb\t\n"
 
 
+def test_spaces_at_the_ends_of_fields_stay(spark, tmp_path):
+    rows = [("S3-548", " This  Inc", "15 This St ", "US")]
+    tables.write_tsv(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in tables.RECORD)), str(tmp_path / "out"))
+    assert [tuple(r) for r in tables.read_tsv(spark, str(tmp_path / "out")).collect()] == rows
+
+
 def test_lists_and_stitch(spark):
     pairs = spark.createDataFrame([("a", "y", 2), ("a", "x", 1)], "s1 string, cand string, rank int")
     s1 = spark.createDataFrame([("b", 0), ("a", 1)], "entity_id string, row_pos long")
