@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.text import release, with_checkpoints
 
+#: Distinct links, 16 bytes each, that the driver follows itself; more are followed by joins.
+AT_ONCE = 300_000
 #: Parts that the links of one node are dealt to.
 SALTS = 64
 
@@ -24,10 +27,32 @@ def _with_least(links: DataFrame, node: str, other: str) -> DataFrame:
     return dealt.join(back, [node, "salt"]).select(node, other, "m")
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _followed(edges: DataFrame) -> DataFrame:
+    """(node, root) by union and find over links that the driver holds; the smaller root stays."""
+    root: dict = {}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    table = edges.toArrow()
+    for u, v in zip(table.column("u").to_pylist(), table.column("v").to_pylist(), strict=True):
+        root.setdefault(u, u)
+        root.setdefault(v, v)
+        u, v = find(u), find(v)
+        root[max(u, v)] = min(u, v)
+    kind = table.schema.field("u").type
+    found = pa.table({"node": pa.array(list(root), kind), "root": pa.array([find(x) for x in root], kind)})
+    return edges.sparkSession.createDataFrame(found)
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", at_once: int = AT_ONCE) -> DataFrame:
     """(node, root) for each node of ``links``: the smallest node that it is linked to, over any path.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014) until
+    Up to ``at_once`` distinct links are followed by the driver; more by joins,
+    which give the same.  The joins alternate large-star and small-star steps (Kiveris et al., 2014) until
     the links no longer change, which they do after a number of rounds that
     grows with the logarithm of the nodes; every step is checkpointed, the files
     of the step before are released, and nothing but a count reaches the driver.
@@ -35,6 +60,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     spark = links.sparkSession
     with_checkpoints(spark)
     edges = links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u <> v").distinct().checkpoint()
+    if edges.count() <= at_once:
+        return _followed(edges)
     nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
     before, now = None, (0, 0)
     while before != now:

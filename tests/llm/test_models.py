@@ -339,3 +339,13 @@ def test_components_of_a_star(spark):
     links = spark.range(1, 5000).selectExpr("id AS a", "0L AS b").unionAll(spark.range(5000, 5600).selectExpr("id AS a", "id + 1 AS b"))
     got = components(links).groupBy("root").count().collect()
     assert sorted(map(tuple, got)) == [(0, 5000), (5000, 601)]
+
+
+def test_few_links_take_few_jobs(spark):
+    links = spark.range(200).selectExpr("id * 7 % 200 AS a", "(id * 7 + 7) % 200 % 90 AS b")
+    spark.sparkContext.setJobGroup("few links", "")
+    got = sorted(map(tuple, components(links).collect()))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links"))
+    spark.sparkContext.setJobGroup("other", "")
+    assert 0 < jobs <= 8
+    assert got == sorted(map(tuple, components(links, at_once=0).collect()))
