@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 import pandas as pd
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import normalize as N
 from linkloom.operators import assign, blocking, decide, evaluate, features, guards, ml, sampling, validate
-from linkloom.plans import pair_queries
+from linkloom.plans import pair_queries, relations
 
 LADDERS = [("a", "x1", 0.95), ("a", "x2", 0.95), ("a", "x3", 0.9), ("a", "x4", 0.7), ("b", "x1", 0.6), ("c", "x9", 0.8), ("d", "x5", 0.99), ("d", "x6", 0.93), ("d", "x7", 0.86), ("d", "x8", 0.8)]
 
@@ -241,6 +243,41 @@ def test_met_bags_grow_with_the_records(spark):
     assert blocking.met_bags(made(900), made(900), 3).count() <= 900 * (1 + 3)
 
 
+def test_pairs_are_dealt_out_once(spark):
+    recs = [(f"S{1 + i % 2}-{i}", f"acme{i // 2} foods", "", "US") for i in range(40)]
+    norm = N.normalize(spark.createDataFrame(recs, "entity_id string, business_name string, business_address string, country string"))
+    s1, cands = norm.filter("entity_id like 'S1%'"), norm.filter("entity_id not like 'S1%'")
+    found = blocking.preselected(s1, cands, 3, blocking.BlockingConfig(channels=("tok2", "sigtoken")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a#" in plan and not re.search(r"hashpartitioning\(a#\d+, b#\d+", plan)
+
+
+def test_long_keys_are_carried_as_numbers(spark):
+    bags = spark.range(60).selectExpr("lpad(id, 6, '0') AS id", "array(struct('US' AS country, 'tok2' AS space, 'same' AS key, 1L AS n)) AS bag")
+    long = spark.sql("SELECT 'US' AS country, 'tok2' AS space, 'same' AS key, 7L AS i")
+    parted = blocking._parted(bags, long)
+    assert parted.schema["long"].dataType.elementType.names == ["i", "n"]
+    assert {(len(r.short), r.long[0].i) for r in parted.collect()} == {(0, 7)}
+
+
+def test_kept_tables_release_their_shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x.strip() for x in blocks.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before, seen = files(), []
+
+    def make():
+        df = spark.range(5000).repartition(4, "id")
+        df.count()
+        seen.extend(files() - before)
+        return df
+
+    assert relations._kept(spark, "nowhere", f"kept{time.monotonic_ns()}", make).count() == 5000
+    until = time.monotonic() + 10
+    while (left := files() & set(seen)) and time.monotonic() < until:
+        time.sleep(0.2)
+    assert seen and not left
+
+
 def test_reranked_candidates_of_a_large_group(spark, tmp_path):
     docs = [(i, "alpha beta gamma delta epsilon zeta eta theta", "en", 45) for i in range(360)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
