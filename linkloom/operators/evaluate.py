@@ -40,7 +40,20 @@ def entity_scores(entities: DataFrame, truth: DataFrame, pred: DataFrame) -> Dat
     marked = truth.select("s1", "cand", F.lit(1).alias("t"), F.lit(0).alias("p")).unionByName(pred.select("s1", "cand", F.lit(0).alias("t"), F.lit(1).alias("p")))
     pairs = marked.groupBy("s1", "cand").agg(F.max("t").alias("t"), F.max("p").alias("p"))
     sums = pairs.groupBy("s1").agg(F.sum("t").alias("n_true"), F.sum("p").alias("n_pred"), F.sum(F.col("t") * F.col("p")).alias("tp"))
-    df = entities.select("s1").join(sums, "s1", "left").na.fill(0, ["n_true", "n_pred", "tp"])
+    return _of_sums(entities.select("s1").join(sums, "s1", "left"))
+
+
+def judged_scores(entities: DataFrame, true_counts: DataFrame, pred: DataFrame) -> DataFrame:
+    """The same from true_counts (s1, n_true) and pred (s1, cand, same), each pair once, ``same`` 1 for a true one.
+
+    No table of true pairs is made, which grows with the square of a group of copies.
+    """
+    sums = pred.groupBy("s1").agg(F.count(F.lit(1)).alias("n_pred"), F.sum("same").alias("tp"))
+    return _of_sums(entities.select("s1").join(true_counts, "s1", "left").join(sums, "s1", "left"))
+
+
+def _of_sums(df: DataFrame) -> DataFrame:
+    df = df.na.fill(0, ["n_true", "n_pred", "tp"])
     return df.withColumn("_s", _scores(F.col("tp"), F.col("n_true"), F.col("n_pred"))).select("s1", "n_true", "n_pred", "tp", "_s.*")
 
 

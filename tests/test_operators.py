@@ -4,13 +4,14 @@ import time
 
 import pandas as pd
 import pytest
+from conftest import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from linkloom.functions import normalize as N
 from linkloom.operators import assign, blocking, decide, evaluate, features, guards, ml, sampling, validate
-from linkloom.plans import pair_queries, relations
+from linkloom.plans import pair_queries, registry, relations
 
 LADDERS = [("a", "x1", 0.95), ("a", "x2", 0.95), ("a", "x3", 0.9), ("a", "x4", 0.7), ("b", "x1", 0.6), ("c", "x9", 0.8), ("d", "x5", 0.99), ("d", "x6", 0.93), ("d", "x7", 0.86), ("d", "x8", 0.8)]
 
@@ -103,6 +104,30 @@ def test_metrics(spark):
     assert (w.low, w.high) == (0.0, 0.0)
 
 
+def test_scores_without_pairs_of_truth(spark):
+    """A group of 3,000 copies: two million true pairs, none of which is made."""
+    copies = spark.range(3000).selectExpr("concat('S', 1 + id % 3, '-', id) AS entity_id", "'x' AS sig")
+    s1, cands = relations.sides(copies)
+    few = lambda df, c: df.filter("substring_index(entity_id, '-', -1) < 9").select(F.col("entity_id").alias(c), "sig")
+    pred = few(s1, "s1").join(few(cands, "cand"), "sig").select("s1", "cand", F.lit(1).alias("same")).unionByName(spark.sql("SELECT 'S1-0' AS s1, 'S2-none' AS cand, 0 AS same"))
+    n = cands.groupBy("sig").agg(F.count(F.lit(1)).alias("n_true"))
+    counts = s1.join(n, "sig").select(F.col("entity_id").alias("s1"), "n_true")
+    ents = s1.select(F.col("entity_id").alias("s1")).unionByName(spark.sql("SELECT 'S1-alone' AS s1"))
+    got = evaluate.judged_scores(ents, counts, pred)
+    whole = s1.select(F.col("entity_id").alias("s1"), "sig").join(cands.select(F.col("entity_id").alias("cand"), "sig"), "sig").select("s1", "cand")
+    want = evaluate.entity_scores(ents, whole, pred)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["entity_f05", "macro_f05", "micro_f05", "tier_metrics", "noise_simulation", "oracle_bound", "model_persistence"])
+def test_queries_make_no_pairs_of_truth(spark, monkeypatch, name):
+    def fail(*_):
+        raise AssertionError("truth grows with the square of a group of copies")
+
+    monkeypatch.setattr(relations, "truth", fail)
+    registry.QUERIES[name](spark, SF)
+
+
 def test_guards(spark):
     recs = [("S1-1", "Acme Foods", "12 Main Street"), ("S2-1", "Acme Foods", "14 Main Street"), ("S2-2", "N/A", "far away"), ("S2-3", "Zeta", "12 Main Street"), ("S2-4", "Acme Foods Ltd", "12 Main St")]
     records = spark.createDataFrame(recs, "entity_id string, business_name string, business_address string")
