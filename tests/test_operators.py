@@ -303,6 +303,15 @@ def test_kept_tables_release_their_shuffle_files(spark):
     assert seen and not left
 
 
+def test_a_release_waits_for_tables_that_python_has_dropped(spark):
+    queue = spark.sparkContext._gateway._gateway_client.finalizer_deque
+    for _ in range(3):
+        made = [spark.range(i) for i in range(20)]
+        del made
+        assign.release(spark)
+        assert not queue
+
+
 def test_reranked_candidates_of_a_large_group(spark, tmp_path):
     docs = [(i, "alpha beta gamma delta epsilon zeta eta theta", "en", 45) for i in range(360)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
