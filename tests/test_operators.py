@@ -1,6 +1,7 @@
 import random
 import re
 import time
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -303,6 +304,22 @@ def test_kept_tables_release_their_shuffle_files(spark):
     assert seen and not left
 
 
+def test_pairs_are_chosen_and_compared_in_parts(spark, monkeypatch):
+    assign.checkpoints(spark)
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"), "relations")
+    old, seen = set(folder.glob("*")), {"pairs": [0], "compared": [0]}
+
+    def release(_):
+        for name, counts in seen.items():
+            counts.append(sum(len(pd.read_parquet(f, columns=["s1"])) for d in set(folder.glob(f"*-{name}")) - old for f in d.glob("*.parquet")))
+
+    monkeypatch.setattr(assign, "release", release)
+    monkeypatch.setattr(blocking, "release", release)
+    total = relations.compared(spark, f"{SF}/.").count()
+    for counts in seen.values():
+        assert counts[-1] == total and 0 < max(b - a for a, b in zip(counts, counts[1:])) < 0.6 * total
+
+
 def test_a_release_waits_for_tables_that_python_has_dropped(spark):
     queue = spark.sparkContext._gateway._gateway_client.finalizer_deque
     for _ in range(3):
