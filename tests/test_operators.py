@@ -320,6 +320,24 @@ def test_pairs_are_chosen_and_compared_in_parts(spark, monkeypatch):
         assert counts[-1] == total and 0 < max(b - a for a, b in zip(counts, counts[1:])) < 0.6 * total
 
 
+def test_records_meet_pairs_in_parts_and_without_the_wide_table(spark, monkeypatch):
+    assign.checkpoints(spark)
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"), "relations")
+    old, seen, d = set(folder.glob("*")), {name: [0] for name in ["judged"]}, f"{SF}/./."
+
+    def release(_):
+        for name, counts in seen.items():
+            counts.append(sum(len(pd.read_parquet(f, columns=["s1"])) for x in set(folder.glob(f"*-{name}")) - old for f in x.glob("*.parquet")))
+
+    monkeypatch.setattr(assign, "release", release)
+    for name in ["collision_counts"]:
+        registry.QUERIES[name](spark, d).collect()
+    assert not any(key[1:] == (d, "compared") for key in relations._MADE)
+    total = relations.pairs(spark, d).count()
+    for counts in seen.values():
+        assert counts[-1] == total and 0 < max(b - a for a, b in zip(counts, counts[1:])) < 0.6 * total
+
+
 def test_a_release_waits_for_tables_that_python_has_dropped(spark):
     queue = spark.sparkContext._gateway._gateway_client.finalizer_deque
     for _ in range(3):
