@@ -330,7 +330,7 @@ def test_records_meet_pairs_in_parts_and_without_the_wide_table(spark, monkeypat
             counts.append(sum(len(pd.read_parquet(f, columns=["s1"])) for x in set(folder.glob(f"*-{name}")) - old for f in x.glob("*.parquet")))
 
     monkeypatch.setattr(assign, "release", release)
-    for name in ["collision_counts"]:
+    for name in ["collision_counts", "final_checklist"]:
         registry.QUERIES[name](spark, d).collect()
     assert not any(key[1:] == (d, "compared") for key in relations._MADE)
     total = relations.pairs(spark, d).count()
