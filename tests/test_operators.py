@@ -323,14 +323,14 @@ def test_pairs_are_chosen_and_compared_in_parts(spark, monkeypatch):
 def test_records_meet_pairs_in_parts_and_without_the_wide_table(spark, monkeypatch):
     assign.checkpoints(spark)
     folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"), "relations")
-    old, seen, d = set(folder.glob("*")), {name: [0] for name in ["judged", "named", "reasons"]}, f"{SF}/./."
+    old, seen, d = set(folder.glob("*")), {name: [0] for name in ["judged", "named", "reasons", "faced"]}, f"{SF}/./."
 
     def release(_):
         for name, counts in seen.items():
             counts.append(sum(len(pd.read_parquet(f, columns=["s1"])) for x in set(folder.glob(f"*-{name}")) - old for f in x.glob("*.parquet")))
 
     monkeypatch.setattr(assign, "release", release)
-    for name in ["collision_counts", "final_checklist", "cluster_disambiguation", "guard_reason_counts"]:
+    for name in ["collision_counts", "final_checklist", "cluster_disambiguation", "guard_reason_counts", "guard_street"]:
         registry.QUERIES[name](spark, d).collect()
     assert not any(key[1:] == (d, "compared") for key in relations._MADE)
     total = relations.pairs(spark, d).count()
